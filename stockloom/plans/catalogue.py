@@ -1,6 +1,9 @@
 """Importing this module registers every query."""
 
 from stockloom.plans.registry import ORACLES, QUERIES
-from stockloom.plans import q_functions  # noqa: F401
+from stockloom.plans import (  # noqa: F401
+    q_cleaning,
+    q_functions,
+)
 
 __all__ = ["ORACLES", "QUERIES"]
