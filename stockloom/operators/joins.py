@@ -129,14 +129,14 @@ def scope_window_join(windows: DataFrame, clusters: list[int], product_cluster:
     kind = F.lower(F.col("scope_type"))
     direct = F.when((kind == "cluster") & (F.size(listed) > 0), listed).otherwise(every)
     if product_cluster is None:
-        return windows.withColumn("cluster_id", F.explode(F.array_distinct(direct)).cast("int"))
+        return windows.withColumn("cluster_id", F.explode(F.array_distinct(direct).cast("array<int>")))
     per_product = windows.where(kind == "product_id").select("id", F.explode(listed).alias("product_id"))
     known = per_product.join(product_cluster.select("product_id", "cluster_id"), "product_id").groupBy("id").agg(
         F.array_sort(F.collect_set(F.col("cluster_id").cast("long"))).alias("_known")
     )
     targets = F.when(kind == "product_id", F.coalesce("_known", every)).otherwise(direct)
     joined = windows.join(known, "id", "left")
-    return joined.withColumn("cluster_id", F.explode(F.array_distinct(targets)).cast("int")).drop("_known")
+    return joined.withColumn("cluster_id", F.explode(F.array_distinct(targets).cast("array<int>"))).drop("_known")
 
 
 def scope_product_join(windows: DataFrame, product_cluster: DataFrame) -> DataFrame:
