@@ -46,19 +46,31 @@ def calendar_columns(date) -> dict[str, Column]:
     }
 
 
+def _with(value: Column, fn) -> Column:
+    """``fn(value)`` with ``value`` evaluated once, so that nested uses do not multiply the expression."""
+    return F.transform(F.array(value), fn)[0]
+
+
 def easter(year) -> Column:
     """Gregorian Easter Sunday by whole-number arithmetic on the year."""
-    y = _col(year).cast("int")
 
     def div(a, n: int) -> Column:
         return F.floor(a / n).cast("int")
 
-    golden, century, rest = y % 19, div(y, 100), y % 100
-    moon = (19 * golden + century - div(century, 4) - div(century - div(century + 8, 25) + 1, 3) + 15) % 30
-    week = (32 + 2 * (century % 4) + 2 * div(rest, 4) - moon - rest % 4) % 7
-    shift = div(golden + 11 * moon + 22 * week, 451)
-    code = moon + week - 7 * shift + 114
-    return F.make_date(y, div(code, 31), (code % 31 + 1).cast("int"))
+    def moon(y: Column) -> Column:
+        c = div(y, 100)
+        return (19 * (y % 19) + c - div(c, 4) - div(c - div(c + 8, 25) + 1, 3) + 15) % 30
+
+    def week(y: Column, h: Column) -> Column:
+        c = div(y, 100)
+        return (32 + 2 * (c % 4) + 2 * div(y % 100, 4) - h - (y % 100) % 4) % 7
+
+    def day(y: Column, h: Column, w: Column) -> Column:
+        code = h + w - 7 * div(y % 19 + 11 * h + 22 * w, 451) + 114
+        return _with(code, lambda k: F.make_date(y, div(k, 31), (k % 31 + 1).cast("int")))
+
+    y0 = _col(year).cast("int")
+    return _with(y0, lambda y: _with(moon(y), lambda h: _with(week(y, h), lambda w: day(y, h, w))))
 
 
 def nth_weekday(year, month: int, weekday: int, n: int) -> Column:
