@@ -5,7 +5,9 @@ from stockloom.plans import (  # noqa: F401
     q_cleaning,
     q_effects,
     q_functions,
+    q_inventory,
     q_relational,
+    q_stats,
 )
 
 __all__ = ["ORACLES", "QUERIES"]
