@@ -15,3 +15,83 @@ def internal_substitute_score(alt: DataFrame) -> DataFrame:
     raw = 0.5 * ratio("availability", "pref_availability") + 0.25 * ratio("pref_lead_time", "lead_time") + 0.25 * ratio("pref_price", "price")
     w = Window.partitionBy("product_id").orderBy(F.desc("availability"), "lead_time", "price", "supplier_id")
     return alt.withColumn("score", F.greatest(F.least(raw, F.lit(1.0)), F.lit(0.0))).withColumn("priority", F.row_number().over(w))
+
+
+def _tokens(products: DataFrame, name: str) -> DataFrame:
+    """Normalised TF-IDF weights of each distinct name; document frequencies count every product."""
+    names = products.groupBy(name).agg(F.count(F.lit(1)).alias("_mult"))
+    words = F.regexp_extract_all(F.lower(name), F.lit(r"\b\w\w+\b"), 0)
+    tf = names.select(name, "_mult", F.explode(words).alias("token")).groupBy(name, "_mult", "token").agg(F.count(F.lit(1)).alias("_tf"))
+    df = tf.groupBy("token").agg(F.sum("_mult").alias("_df"))
+    n = products.agg(F.count(F.lit(1)).alias("n"))
+    w = tf.join(df, "token").withColumn("_w", F.col("_tf") * (F.log((1 + n.scalar()) / (1 + F.col("_df"))) + 1))
+    norm = w.groupBy(name).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
+    return w.join(norm, name).select(name, "token", "_df", (F.col("_w") / F.col("_norm")).alias("w"))
+
+
+def tfidf_name_similarity(
+    products: DataFrame, product: str, category: str, name: str, pack: str, k: int = 3, min_score: float = 0.7, low: float = 0.8, high: float = 1.25
+) -> DataFrame:
+    """The k most similar products of the same category with a pack ratio strictly inside (low, high).
+
+    Similarity is worked out between distinct names, never between products. Names of one category meet
+    only through a rare token: tokens are ordered from rare to common, and a pair that reaches the score
+    must share one of the leading tokens of both, because the rest of a name alone is too short for it.
+    A group of equal (category, name, pack) offers its k + 1 smallest ids, enough for every product that
+    leaves itself out.
+    """
+    usable = products.where(F.col(pack) > 0).select(product, category, name, F.col(pack).cast("double").alias(pack))
+    weights = _tokens(products.select(name), name)
+    entry = F.array_sort(F.collect_list(F.struct(F.col("_df"), F.col("token"), F.col("w"))))
+    vec = weights.groupBy(name).agg(entry.alias("v"))
+    # A name is short, so its vector is a small array. Lead tokens: those from which the tail still reaches the score.
+    positions = F.sequence(F.lit(1), F.size("v"))
+    tail = F.transform(positions, lambda i: F.aggregate(F.slice("v", i, F.size("v")), F.lit(0.0), lambda acc, e: acc + e["w"] * e["w"]))
+    lead = F.filter(F.arrays_zip(F.transform("v", lambda e: e["token"]).alias("t"), tail.alias("s")), lambda z: z["s"] >= min_score * min_score - 1e-9)
+    vec = vec.withColumn("lead", F.transform(lead, lambda z: z["t"]))
+    members = usable.select(category, name).distinct().join(vec, name)
+    probes = members.select(category, name, F.explode("lead").alias("token"))
+    met = (
+        probes.alias("a").join(probes.alias("b"), [category, "token"])
+        .select(category, F.col(f"a.{name}").alias("_na"), F.col(f"b.{name}").alias("_nb")).distinct()
+    )
+    va = vec.select(F.col(name).alias("_na"), F.col("v").alias("_va"))
+    vb = vec.select(F.col(name).alias("_nb"), F.map_from_entries(F.transform("v", lambda e: F.struct(e["token"], e["w"]))).alias("_vb"))
+    dot = F.aggregate("_va", F.lit(0.0), lambda acc, e: acc + e["w"] * F.coalesce(F.try_element_at(F.col("_vb"), e["token"]), F.lit(0.0)))
+    alike = met.join(va, "_na").join(vb, "_nb").withColumn("score", dot).where(F.col("score") >= min_score).select(category, "_na", "_nb", "score")
+
+    first = F.row_number().over(Window.partitionBy(category, name, pack).orderBy(product))
+    heads = usable.withColumn("_rn", first).where(F.col("_rn") <= k + 1)
+    # Packs meet through buckets one ratio wide, so only close sizes are compared.
+    bucket = F.floor(F.log(F.col(pack)) / F.log(F.lit(max(high, 1 / low))))
+    offer = heads.select(category, F.col(name).alias("_nb"), F.col(pack).alias("_pb"), bucket.alias("_bucket"), F.col(product).alias("substitute_id"))
+    groups = usable.select(category, name, pack).distinct()
+    seek = groups.select(category, F.col(name).alias("_na"), F.col(pack).alias("_pa"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("_bucket"))
+    ratio = F.col("_pb") / F.col("_pa")
+    found = (
+        seek.join(alike, [category, "_na"]).join(offer, [category, "_nb", "_bucket"]).where((ratio > low) & (ratio < high))
+        .select(category, F.col("_na").alias(name), F.col("_pa").alias(pack), "substitute_id", "score")
+    )
+    order = [F.desc(F.round("score", 9)), "substitute_id"]
+    best = found.withColumn("_rn", F.row_number().over(Window.partitionBy(category, name, pack).orderBy(*order))).where(F.col("_rn") <= k + 1).drop("_rn")
+    each = usable.join(best, [category, name, pack]).where(F.col("substitute_id") != F.col(product))
+    rank = F.row_number().over(Window.partitionBy(product).orderBy(*order))
+    return each.withColumn("rank", rank).where(F.col("rank") <= k).select(product, "substitute_id", "score", "rank")
+
+
+def fuzzy_category_match(source: DataFrame, targets: DataFrame, col: str, target: str, accept: float = 0.75, chunk: int = 1000) -> DataFrame:
+    """Best target for each value without an exact one: 1 - edit distance / longer length, and SI or REVISAR.
+
+    Targets are packed into arrays of about ``chunk`` values. Each value meets every chunk once and keeps
+    the best of it, so memory is bounded by a chunk whatever the number of targets.
+    """
+    names = targets.select(F.col(target).alias("_t")).where("_t is not null").distinct()
+    n_chunks = names.agg(F.greatest(F.ceil(F.count(F.lit(1)) / chunk), F.lit(1)).cast("long").alias("n"))
+    packed = names.withColumn("_c", F.pmod(F.xxhash64("_t"), n_chunks.scalar())).groupBy("_c").agg(F.collect_list("_t").alias("_ts"))
+    open_values = source.select(col).where(F.col(col).isNotNull()).distinct().join(names, F.col(col) == F.col("_t"), "left_anti")
+    seek = open_values.withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"), n_chunks.scalar() - 1)))
+    longer = lambda x: F.greatest(F.length(col), F.length(x), F.lit(1))
+    scored = F.transform("_ts", lambda x: F.struct((F.levenshtein(F.col(col), x) / longer(x)).alias("d"), x.alias("t")))
+    best = seek.join(packed, "_c").select(col, F.array_min(scored).alias("b")).groupBy(col).agg(F.min("b").alias("b"))
+    score = 1 - F.col("b.d")
+    return best.select(col, F.col("b.t").alias("suggested"), score.alias("score"), F.when(score >= accept, "SI").otherwise("REVISAR").alias("use"))

@@ -3,6 +3,7 @@
 from stockloom.plans.registry import ORACLES, QUERIES
 from stockloom.plans import (  # noqa: F401
     q_cleaning,
+    q_clustering,
     q_effects,
     q_forecast,
     q_functions,
