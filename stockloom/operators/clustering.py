@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from stockloom.operators.aggregates import one
 from stockloom.operators.features import feature_vector
-from stockloom.session import checkpointed
+from stockloom.operators.prefix import row_positions
+from stockloom.session import checkpointed, written
 
 
 def _sweep(df: DataFrame, cols: list[str], keep: list[str], ks: list[int], make, cost, force_k: int | None):
@@ -184,15 +185,15 @@ def connected_labels(nodes: DataFrame, links: DataFrame, max_rounds: int = 60) -
     """(node, label): the smallest node id of each component.
 
     Each round takes the smallest neighbouring label and then follows labels one step, which halves the
-    length of chains. A round is checkpointed; a cell has a bounded number of neighbours.
+    length of chains. A round is written as a table; a cell has a bounded number of neighbours.
     """
-    both = checkpointed(links.select(F.col("_a").alias("src"), F.col("_b").alias("dst")).unionByName(links.select(F.col("_b").alias("src"), F.col("_a").alias("dst"))))
-    labels = checkpointed(nodes.select("node", F.col("node").alias("label")))
+    both = written(links.select(F.col("_a").alias("src"), F.col("_b").alias("dst")).unionByName(links.select(F.col("_b").alias("src"), F.col("_a").alias("dst"))))
+    labels = written(nodes.select("node", F.col("node").alias("label")))
     for _ in range(max_rounds):
         seen = both.join(labels, F.col("dst") == F.col("node")).groupBy("src").agg(F.min("label").alias("_m"))
         step = labels.join(seen, F.col("node") == F.col("src"), "left").select("node", F.col("label").alias("_old"), F.least("label", F.coalesce("_m", "label")).alias("label"))
         jump = step.select(F.col("node").alias("_n"), F.col("label").alias("_jl"))
-        new = checkpointed(step.join(jump, F.col("label") == F.col("_n")).select("node", "_old", F.col("_jl").alias("label")))
+        new = written(step.join(jump, F.col("label") == F.col("_n")).select("node", "_old", F.col("_jl").alias("label")))
         labels = new.select("node", "label")
         if new.where("_old <> label").isEmpty():
             return labels
@@ -206,8 +207,6 @@ def dbscan_clusters(df: DataFrame, key: str, dims: list[str], eps: float, min_sa
     nodes = cores.select(F.col("_cell").alias("node")).distinct()
     labels = connected_labels(nodes, _cell_links(cores, dims, eps))
     ids = labels.select("label").distinct()
-    from stockloom.operators.prefix import row_positions
-
     numbered = row_positions(ids, [], [F.col("label")], "cluster").withColumn("cluster", (F.col("cluster") - 1).cast("int"))
     cell_cluster = labels.join(numbered, "label").select(F.col("node").alias("_cell"), "cluster")
     core_out = cores.join(cell_cluster, "_cell").select(key, "role", "cluster")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -49,3 +50,14 @@ def checkpointed(df):
     """Cut the lineage of ``df`` by a reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df):
+    """``df`` as a Parquet table in the shared folder, read back.
+
+    For loops: a checkpointed frame still carries the constraints of the plan it came from, and they grow
+    with every round, while a table that is read back starts afresh.
+    """
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
