@@ -8,6 +8,7 @@ from stockloom.plans import (  # noqa: F401
     q_forecast,
     q_functions,
     q_inventory,
+    q_models,
     q_relational,
     q_stats,
 )
