@@ -10,6 +10,7 @@ from stockloom.plans import (  # noqa: F401
     q_inventory,
     q_models,
     q_relational,
+    q_sources,
     q_stats,
 )
 
