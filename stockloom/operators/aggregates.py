@@ -198,10 +198,9 @@ def category_cluster_pivot(df: DataFrame, category: str, cluster: str, clusters:
 
 
 def mode_per_product(df: DataFrame, product: str, value: str) -> DataFrame:
-    """Most frequent value per key, the smallest on a tie: counts first, then one ``max_by`` per key."""
+    """Most frequent value per key, the smallest on a tie: counts first, then one ``min_by`` per key."""
     counts = df.where(F.col(value).isNotNull()).groupBy(product, value).agg(one().alias("_n"))
-    best = counts.groupBy(product).agg(F.max("_n").alias("_max"))
-    return counts.join(best, product).where("_n = _max").groupBy(product).agg(F.min(value).alias(value))
+    return counts.groupBy(product).agg(F.min_by(value, F.struct(-F.col("_n"), F.col(value))).alias(value))
 
 
 def catalog_meta_rollup(df: DataFrame, product: str, cluster: str, flag: str, price: str) -> DataFrame:

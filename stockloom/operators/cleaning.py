@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from stockloom.functions.text import contains_any
 from stockloom.operators.aggregates import coverage_by_product
-from stockloom.operators.outliers import iqr_outliers
 from stockloom.operators.prefix import null_safe
+from stockloom.session import checkpointed
 
 
 def is_active(status: str) -> Column:
@@ -107,14 +107,19 @@ def problem_case_stages(
     repeated = rows.groupBy(product, date).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     lost["duplicados_product_date"] = repeated.select(product)
     nth = F.row_number().over(Window.partitionBy(product, date).orderBy(*tie))
-    rows = rows.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
-    total = rows.groupBy(product).agg(F.sum(qty).alias("_total"))
-    rows = cut(rows.join(total, product), F.col("_total") == 0, "demanda_total_cero").drop("_total")
+    # The product rules read these rows several times, so they are kept and not worked out again.
+    rows = checkpointed(rows.withColumn("_nth", nth).where("_nth = 1").drop("_nth"))
+    # The rules left remove whole products, or rows by the product's own quantiles: one table says it all.
+    per = rows.groupBy(product).agg(
+        F.sum(qty).alias("_total"), F.percentile(qty, 0.25).alias("_q1"), F.percentile(qty, 0.75).alias("_q3")
+    )
     seen = coverage_by_product(rows, product, date, first, last, scope).select(product, F.col("coverage").alias("_cov"))
-    rows = cut(rows.join(seen, product), F.col("_cov") < min_coverage, f"cobertura_baja_{scope}").drop("_cov")
+    rows = rows.join(per.join(seen, product), product)
+    rows = cut(rows, F.col("_total") == 0, "demanda_total_cero")
+    rows = cut(rows, F.col("_cov") < min_coverage, f"cobertura_baja_{scope}")
     if iqr:
-        marked = iqr_outliers(rows, product, qty)
-        rows = cut(marked, F.col("is_outlier"), "outliers_iqr").drop("is_outlier")
+        span = 1.5 * (F.col("_q3") - F.col("_q1"))
+        rows = cut(rows, (span > 0) & ((q < F.col("_q1") - span) | (q > F.col("_q3") + span)), "outliers_iqr")
     return rows.select(*df.columns), lost
 
 
