@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from stockloom.functions.text import contains_any
 from stockloom.operators.aggregates import coverage_by_product
 from stockloom.operators.prefix import null_safe
-from stockloom.session import checkpointed
+from stockloom.session import written
 
 
 def is_active(status: str) -> Column:
@@ -108,7 +108,7 @@ def problem_case_stages(
     lost["duplicados_product_date"] = repeated.select(product)
     nth = F.row_number().over(Window.partitionBy(product, date).orderBy(*tie))
     # The product rules read these rows several times, so they are kept and not worked out again.
-    rows = checkpointed(rows.withColumn("_nth", nth).where("_nth = 1").drop("_nth"))
+    rows = written(rows.withColumn("_nth", nth).where("_nth = 1").drop("_nth"))
     # The rules left remove whole products, or rows by the product's own quantiles: one table says it all.
     per = rows.groupBy(product).agg(
         F.sum(qty).alias("_total"), F.percentile(qty, 0.25).alias("_q1"), F.percentile(qty, 0.75).alias("_q3")

@@ -15,12 +15,12 @@ from pyspark.sql import functions as F
 from stockloom.operators.aggregates import one
 from stockloom.operators.features import feature_vector
 from stockloom.operators.prefix import row_positions
-from stockloom.session import checkpointed, written
+from stockloom.session import written
 
 
 def _sweep(df: DataFrame, cols: list[str], keep: list[str], ks: list[int], make, cost, force_k: int | None):
     """Fit every k, score it by silhouette, and label with the best one (the lower k on a tie)."""
-    data = checkpointed(feature_vector(df, cols, keep))
+    data = written(feature_vector(df, cols, keep))
     judge = ClusteringEvaluator(featuresCol="features", predictionCol="cluster")
     rows, fitted = [], {}
     for k in ks:
@@ -98,7 +98,7 @@ def dbscan_points(df: DataFrame, key: str, dims: list[str], eps: float, min_samp
     cells look around, and such a cell has fewer than ``min_samples`` of them, so a crowded cell meets a
     bounded number of probes and the work grows with the points, not with their pairs.
     """
-    pts = checkpointed(_grid(df, key, dims, eps))
+    pts = written(_grid(df, key, dims, eps))
     sizes = pts.groupBy("_cell").agg(one().alias("_n"))
     sized = pts.join(sizes, "_cell")
     thin = sized.where(F.col("_n") < min_samples)
@@ -108,7 +108,7 @@ def dbscan_points(df: DataFrame, key: str, dims: list[str], eps: float, min_samp
     )
     marked = sized.join(seen, key, "left")
     core = (F.col("_n") >= min_samples) | (F.coalesce("_seen", F.lit(0)) >= min_samples)
-    marked = checkpointed(marked.withColumn("_core", core).drop("_n", "_seen"))
+    marked = written(marked.withColumn("_core", core).drop("_n", "_seen"))
     cores, rest = marked.where("_core"), marked.where("not _core")
     near = (
         _probes(rest, len(dims)).alias("a")
@@ -152,7 +152,7 @@ def _cell_links(cores: DataFrame, dims: list[str], eps: float, levels: int = 5)
     unique = cores.dropDuplicates(dims)
     links, open_pairs = None, None
     for level in range(1, levels + 1):
-        boxes = checkpointed(_boxes(unique, dims, eps, level))
+        boxes = written(_boxes(unique, dims, eps, level))
         if open_pairs is None:
             a = _probes(boxes, d, own=False)
             pairs = a.alias("a").join(boxes.alias("b"), (F.col("a._near") == F.col("b._cell")) & (F.col("a._cell") < F.col("b._cell")))
@@ -162,7 +162,7 @@ def _cell_links(cores: DataFrame, dims: list[str], eps: float, levels: int = 5)
         judged = pairs.where(near2 <= eps * eps).groupBy(F.col("a._cell").alias("_a"), F.col("b._cell").alias("_b")).agg(
             F.max((far2 <= eps * eps).cast("int")).alias("_sure")
         )
-        judged = checkpointed(judged)
+        judged = written(judged)
         sure = judged.where("_sure = 1").select("_a", "_b")
         links = sure if links is None else links.unionByName(sure)
         open_pairs = judged.where("_sure = 0").select("_a", "_b")
@@ -202,7 +202,7 @@ def connected_labels(nodes: DataFrame, links: DataFrame, max_rounds: int = 60) -
 
 def dbscan_clusters(df: DataFrame, key: str, dims: list[str], eps: float, min_samples: int) -> DataFrame:
     """(key, role, cluster): components of core cells; a border point joins the smallest cluster it touches; noise is -1."""
-    pts = checkpointed(dbscan_points(df, key, dims, eps, min_samples))
+    pts = written(dbscan_points(df, key, dims, eps, min_samples))
     cores = pts.where("role = 'core'")
     nodes = cores.select(F.col("_cell").alias("node")).distinct()
     labels = connected_labels(nodes, _cell_links(cores, dims, eps))

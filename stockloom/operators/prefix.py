@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stockloom.session import checkpointed
+from stockloom.session import written
 
 
 def null_safe(left: str, right: str, cols: list[str]) -> Column:
@@ -43,10 +43,10 @@ def range_running_total(df: DataFrame, keys: list[str], order: list[Column], val
     """Inclusive running total where the order has no natural bucket.
 
     Rows are range-partitioned by (keys, order), so a hot key covers many partitions. The partition
-    number is used twice, therefore the partitioned rows are checkpointed before it is read.
+    number is used twice, therefore the partitioned rows are written as a table before it is read.
     """
     spread = df.repartitionByRange(*keys, *order) if (keys or order) else df
-    placed = checkpointed(spread.withColumn("_piece_no", F.spark_partition_id()).withColumn("_v", value))
+    placed = written(spread.withColumn("_piece_no", F.spark_partition_id()).withColumn("_v", value))
     keyed = placed if keys else placed.withColumn("_all", F.lit(0))
     group = keys or ["_all"]
     pieces = keyed.groupBy(*group, "_piece_no").agg(F.sum("_v").alias("_piece"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stockloom.session import checkpointed
+from stockloom.session import written
 
 
 def internal_substitute_score(alt: DataFrame) -> DataFrame:
@@ -51,7 +51,7 @@ def tfidf_name_similarity(
     tail = F.transform(positions, lambda i: F.aggregate(F.slice("v", i, F.size("v")), F.lit(0.0), lambda acc, e: acc + e["w"] * e["w"]))
     lead = F.filter(F.arrays_zip(F.transform("v", lambda e: e["token"]).alias("t"), tail.alias("s")), lambda z: z["s"] >= min_score * min_score - 1e-9)
     # One row per distinct name, read three times below.
-    vec = checkpointed(vec.withColumn("lead", F.transform(lead, lambda z: z["t"])))
+    vec = written(vec.withColumn("lead", F.transform(lead, lambda z: z["t"])))
     members = usable.select(category, name).distinct().join(vec, name)
     probes = members.select(category, name, F.explode("lead").alias("token"))
     met = (

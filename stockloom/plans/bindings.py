@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stockloom.operators import calendar as cal
-from stockloom.session import checkpointed
+from stockloom.session import written
 from stockloom.sources.io import read_parquet_source
 
 
@@ -135,13 +135,13 @@ class Tables:
 
     @cached_property
     def years(self) -> DataFrame:
-        """The few years present. Checkpointed, so that calendars do not scan the sales again."""
-        return checkpointed(self.sales.select(F.year("date").alias("year")).distinct())
+        """The few years present. Written as a table, so that calendars do not scan the sales again."""
+        return written(self.sales.select(F.year("date").alias("year")).distinct())
 
     @cached_property
     def real_events(self) -> DataFrame:
-        """About 130 rows per year, checkpointed as a dimension table."""
-        return checkpointed(cal.real_event_calendar(self.years))
+        """About 130 rows per year, written as a dimension table."""
+        return written(cal.real_event_calendar(self.years))
 
     @cached_property
     def event_windows(self) -> DataFrame:

@@ -31,7 +31,7 @@ def shared_folder(spark: SparkSession) -> str:
     temporary folder: on a cluster a machine-local folder would be lost with its executor.
     """
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         if not sc._jsc.sc().getCheckpointDir().isDefined():
             sc.setCheckpointDir(named)
@@ -46,17 +46,11 @@ def shared_folder(spark: SparkSession) -> str:
     return made
 
 
-def checkpointed(df):
-    """Cut the lineage of ``df`` by a reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def written(df):
-    """``df`` as a Parquet table in the shared folder, read back.
+    """``df`` as a Parquet table in the shared folder, read back: its lineage ends here.
 
-    For loops: a checkpointed frame still carries the constraints of the plan it came from, and they grow
-    with every round, while a table that is read back starts afresh.
+    A table is computed once (an eager ``checkpoint()`` computes its last stage twice), later reads take
+    only the columns they need, and in loops no constraints of earlier rounds are carried along.
     """
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
