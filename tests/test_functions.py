@@ -2,7 +2,6 @@
 
 from datetime import date
 
-from pyspark.sql import functions as F
 
 from stockloom.functions import dates as D
 from stockloom.functions import pricing as P
@@ -78,4 +77,3 @@ def test_formatting(spark):
     assert [r[0] for r in df.select(T.format_units_ceil("x")).collect()] == ["1.234.568", "3"]
     assert values(spark, ["Prov. S.L.", None], T.order_id("x", "s")) == ["PO_ProvSL_s", "PO_NA_s"]
     assert [c for c in T.normalize_headers(spark.createDataFrame([(1, 2)], ["﻿ID Producto", "Précio"]), {"product_id": ["id_producto"]}).columns] == ["product_id", "precio"]
-    assert F is not None
