@@ -1,0 +1,41 @@
+"""Connected components of undirected edges."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from stockloom.session import written
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """``(node, component)`` for every node of ``edges(a, b)``; the component is its smallest node.
+
+    Each round links the larger neighbours of a node, and then the smaller ones, to the smallest node
+    among them (large and small stars), so the number of rounds grows with the logarithm of the
+    longest chain. Every round is written to the shared folder. The smallest neighbours are written
+    before they are joined, which lets Spark split the rows of a node with very many edges. Rounds go
+    on until nothing changes; loops and repeated edges do no harm, and no edges give no rows.
+    """
+    now = written(edges.where("a <> b").select("a", "b").distinct())
+    before = None
+    while True:
+        now = written(_star(_star(now, larger=True), larger=False).distinct())
+        mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
+        if before == tuple(mark):
+            break
+        before = tuple(mark)
+    leaves = now.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("component"))
+    roots = leaves.select(F.col("component").alias("node"), "component").distinct()
+    return leaves.groupBy("node").agg(F.min("component").alias("component")).unionByName(roots)
+
+
+def _star(edges: DataFrame, larger: bool) -> DataFrame:
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = both if larger else both.where("b <= a")
+    least = written(near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
+    picked = both.where("b > a") if larger else near
+    linked = picked.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    if not larger:
+        linked = linked.unionByName(least.select("a", F.col("m").alias("b")))
+    return linked.where("a <> b")
