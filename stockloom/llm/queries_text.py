@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from stockloom.llm.license_scan import scan_licenses
 from stockloom.llm.minhash import near_duplicates
 from stockloom.llm.quality import fit_quality, score_documents
 from stockloom.llm.registry import query, table
@@ -18,3 +19,10 @@ def op8_quality(spark, sf_dir):
     """Every document with the score of trees fitted on the labels outside the held-out fifth."""
     docs = table(spark, sf_dir, "documents")
     return score_documents(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op10_license_scan")
+def op10_license_scan(spark, sf_dir):
+    """Every document with its license phrases and notices."""
+    found = scan_licenses(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
