@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from stockloom.llm.decontaminate import find_leaks
 from stockloom.llm.license_scan import scan_licenses
 from stockloom.llm.minhash import near_duplicates
 from stockloom.llm.quality import fit_quality, score_documents
@@ -26,3 +27,9 @@ def op10_license_scan(spark, sf_dir):
     """Every document with its license phrases and notices."""
     found = scan_licenses(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+@query("op1_decontaminate")
+def op1_decontaminate(spark, sf_dir):
+    """Every pair of a document and a benchmark item that it holds."""
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
