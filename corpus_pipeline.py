@@ -1,26 +1,60 @@
-"""The corpus pipeline: documents through the stages below, each written and read again for the next."""
+"""The corpus pipeline: documents through the stages below, each written and read again for the next.
+
+Every stage works on all rows its predecessor kept; all but the last return the columns of their input.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from stockloom.llm.decontaminate import without_leaks
+from stockloom.llm.minhash import without_near_duplicates
+from stockloom.llm.mixing import mixed_rows
+from stockloom.llm.quality import fit_quality, keep_good
+from stockloom.llm.registry import table
 from stockloom.llm.sharding import sharded
 from stockloom.session import written
 
 
-def shard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with its shard and place."""
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that the classifier rejects."""
+    return keep_good(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each near-duplicate group."""
+    return without_near_duplicates(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that hold a benchmark item."""
+    return without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats and leaves out documents so that the sources have their target sizes, in training order."""
+    return mixed_rows(docs)
+
+
+def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row of the mix with its shard and its place there."""
     return sharded(docs)
 
 
-STAGES = [("sharding", shard_stage)]
+STAGES = [
+    ("quality", quality_stage),
+    ("near duplicates", near_duplicate_stage),
+    ("decontamination", decontamination_stage),
+    ("mixing", mixing_stage),
+    ("sharding", sharding_stage),
+]
 
-# Near-duplicate groups and trained models have no SQL form; tests/llm compare the stages with brute force.
+# Trained trees and near-duplicate groups have no SQL form; tests/llm compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for at, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if at < len(STAGES) - 1:

@@ -181,3 +181,19 @@ def _links(docs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFra
         .distinct()
     )
     return sure.unionByName(_confirmed(written(across), sets, percent))
+
+
+def without_near_duplicates(docs: DataFrame, **how) -> DataFrame:
+    """The rows of ``docs``, with all their columns, without the documents whose group keeps another one.
+
+    What leaves is decided by id, so rows that repeat a ``doc_id`` stay or go together, and then only one
+    of several equal rows stays.
+    """
+    judged = near_duplicates(docs, **how)
+    gone = written(judged.where("not kept").select(F.col("doc_id").alias("_gone")).distinct())
+    rest = docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    twice = written(judged.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_twice")))
+    if twice.isEmpty():
+        return rest
+    again = docs["doc_id"].cast("long") == twice["_twice"]
+    return rest.join(twice, again, "left_anti").unionByName(rest.join(twice, again, "left_semi").dropDuplicates(["doc_id"]))

@@ -143,3 +143,21 @@ def training_order(mixed: DataFrame) -> DataFrame:
     rows = mixed.select("doc_id", "source", "size", F.explode("placements").alias("p"))
     flat = rows.select("doc_id", "source", "size", "p.epoch", "p.words", "p.position")
     return flat.orderBy("position", "source", "epoch", "doc_id")
+
+
+def mixed_rows(docs: DataFrame, **how) -> DataFrame:
+    """The rows of ``docs``, with all their columns, as often as the mix reads them, in training order.
+
+    Whole documents only: a placement that reads at least half of its document's words is one row, a
+    smaller one is none. Rows that repeat a ``doc_id`` are read in turn and so share the same placements.
+    Rows without id are numbered by nothing and cannot be placed again; they stay once if they have words.
+    """
+    mixed = mixed_documents(docs, **how)
+    read = mixed.select("doc_id", F.filter("placements", lambda p: p["words"] * 2 >= F.col("size")).alias("placements"))
+    places = written(
+        read.where("doc_id is not null").groupBy("doc_id").agg(F.max("placements").alias("_places")).where(F.size("_places") > 0).select(F.col("doc_id").alias("_id"), "_places")
+    )
+    named = docs.join(places, docs["doc_id"] == places["_id"]).select(*docs.columns, F.explode("_places").alias("_place"))
+    ordered = named.withColumn("_position", F.col("_place.position")).drop("_place")
+    unnamed = docs.where("doc_id is null").where(word_count(F.col("text")) > 0).withColumn("_position", F.lit(1.0))
+    return ordered.unionByName(unnamed).orderBy("_position").drop("_position")
