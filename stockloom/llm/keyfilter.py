@@ -38,3 +38,9 @@ def found(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
 def id_key(column: str) -> Column:
     """A 64-bit key of an id of any type."""
     return F.xxhash64(F.col(column).cast("string"))
+
+
+def repeated_filter(keys: DataFrame, key: str, bits: int = FILTER_BITS) -> np.ndarray:
+    """The filter over the values of ``key`` that occur twice or more; only counts are shuffled."""
+    twice = keys.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return key_filter(twice, key, bits)
