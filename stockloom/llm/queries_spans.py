@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from stockloom.llm.chunk_dedup import without_repeated_chunks
 from stockloom.llm.registry import query, table
+from stockloom.llm.suffix_dedup import without_repeats
 
 SPAN_COLUMNS = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
@@ -12,3 +13,9 @@ SPAN_COLUMNS = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 def op2_chunk_dedup(spark, sf_dir):
     """Every document with what is left of it after repeated chunks are removed."""
     return without_repeated_chunks(table(spark, sf_dir, "documents")).select(*SPAN_COLUMNS)
+
+
+@query("op9_suffix_dedup")
+def op9_suffix_dedup(spark, sf_dir):
+    """Every document with what is left of it after bytes of earlier 100-byte strings are removed."""
+    return without_repeats(table(spark, sf_dir, "documents")).select(*SPAN_COLUMNS)
