@@ -8,6 +8,7 @@ from stockloom.llm import mixing
 from stockloom.llm.exact_dedup import exact_groups
 from stockloom.llm.registry import query, table
 from stockloom.llm.sharding import sharded
+from stockloom.llm.url_filter import judged_urls
 
 
 def _position_sql() -> str:
@@ -96,3 +97,9 @@ def op5_exact_dedup(spark, sf_dir):
 def op7_sharding(spark, sf_dir):
     """Every document with its shard under a rebalanced map of virtual slots, and its place there."""
     return sharded(table(spark, sf_dir, "documents"))
+
+
+@query("op6_url_filter")
+def op6_url_filter(spark, sf_dir):
+    """Every page with its host, path, rule and verdict."""
+    return judged_urls(table(spark, sf_dir, "pages"))
