@@ -60,16 +60,14 @@ def _col(c) -> Column:
 
 
 def normalize_product_id(c) -> Column:
-    """``1000.0``, ``" 1000 "`` and ``001000`` become ``1000``; empty text and ``nan`` become null."""
+    """``1000.0``, ``" 1000 "`` and ``001000`` become ``1000``; empty text and ``nan`` become null.
+
+    Only digits are rewritten, however many there are; ids such as ``12D`` or ``A-7`` stay as they are.
+    """
     text = F.trim(_col(c).cast("string"))
     empty = (text == "") | F.lower(text).isin("nan", "none", "<na>", "null")
-    number = text.try_cast("double")
-    whole = number.isNotNull() & (number == F.floor(number)) & (F.abs(number) < 1e15)
-    return (
-        F.when(text.isNull() | empty, F.lit(None).cast("string"))
-        .when(whole, number.try_cast("long").cast("string"))
-        .otherwise(text)
-    )
+    whole = F.regexp_replace(text, r"^\+?(-?)0*([0-9]+)(?:\.0*)?$", "$1$2")
+    return F.when(text.isNull() | empty, F.lit(None).cast("string")).otherwise(whole)
 
 
 def strip_accents(c) -> Column:
@@ -109,13 +107,17 @@ def repair_catalog_text(c) -> Column:
 
 
 def header_slug(name: str) -> str:
-    """Driver-side form of a header: no byte-order mark, no accents, lower case, underscores."""
+    """Driver-side form of a header: no byte-order mark, no accents, lower case, underscores for ``/ - . ,`` and spaces."""
     plain = unicodedata.normalize("NFKD", name.replace("﻿", "").strip())
-    return "_".join("".join(ch for ch in plain if not unicodedata.combining(ch)).lower().split())
+    letters = "".join(ch for ch in plain if not unicodedata.combining(ch)).lower()
+    return "_".join(letters.translate(str.maketrans("/-.,", "    ")).split())
 
 
 def normalize_headers(df: DataFrame, aliases: dict[str, list[str]] | None = None) -> DataFrame:
-    """Rename every column to its slug, then to the canonical name whose alias list holds it."""
+    """Rename every column to its slug, then to the canonical name whose alias list holds it.
+
+    Two columns that would get one name are an error: neither is dropped silently.
+    """
     canonical = {alias: name for name, group in (aliases or {}).items() for alias in [name, *group]}
     taken: set[str] = set()
     cols = []
@@ -123,7 +125,7 @@ def normalize_headers(df: DataFrame, aliases: dict[str, list[str]] | None = None
         slug = header_slug(c)
         name = canonical.get(slug, slug)
         if name in taken:
-            continue
+            raise ValueError(f"two columns would be named {name!r}: {df.columns}")
         taken.add(name)
         cols.append(F.col(f"`{c}`").alias(name))
     return df.select(*cols)
@@ -162,10 +164,9 @@ def unit_conflict(name, category, unit) -> Column:
 
 
 def parse_localized_number(c) -> Column:
-    """``1.234,56 €`` is 1234.56; plain numbers pass; anything else is null."""
-    text = F.regexp_replace(_col(c), r"[^0-9,.\-]", "")
-    european = F.replace(F.replace(text, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
-    return F.when(text.contains(","), european.try_cast("double")).otherwise(text.try_cast("double"))
+    """``1.234,56 €`` is 1234.56 and ``1.234`` is 1234: dots are always thousands. Anything else is null."""
+    text = F.regexp_replace(_col(c), r"[^0-9,\-]", "")
+    return F.replace(text, F.lit(","), F.lit(".")).try_cast("double")
 
 
 def normalize_bool(c) -> Column:

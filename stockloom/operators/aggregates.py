@@ -71,12 +71,15 @@ def category_features(df: DataFrame, category: str, date: str, qty: str, years:
 
 
 def merge_minor_categories(df: DataFrame, category: str, product: str, qty: str, min_share: float, min_products: int) -> DataFrame:
-    """Categories below the demand share or the product count become ``Otros``."""
-    per = df.groupBy(category).agg(F.sum(qty).alias("_t"), F.countDistinct(product).alias("_p"))
-    total = df.agg(F.sum(qty).alias("t"))
+    """Categories below the demand share or the product count become ``Otros``.
+
+    Rows without a category stay without one, and their demand is in no share.
+    """
+    per = df.where(F.col(category).isNotNull()).groupBy(category).agg(F.sum(qty).alias("_t"), F.countDistinct(product).alias("_p"))
+    total = df.where(F.col(category).isNotNull()).agg(F.sum(qty).alias("t"))
     minor = (F.col("_t") / total.scalar() < min_share) | (F.col("_p") < min_products)
-    label = per.select(category, F.when(minor, "Otros").otherwise(F.col(category)).alias("_label"))
-    return df.join(label, category).withColumn(category, F.col("_label")).drop("_label")
+    label = per.where(minor).select(category, F.lit("Otros").alias("_label"))
+    return df.join(label, category, "left").withColumn(category, F.coalesce("_label", category)).drop("_label")
 
 
 def coverage_by_product(df: DataFrame, product: str, date: str, first: str, last: str, scope: str = "overall") -> DataFrame:

@@ -45,8 +45,8 @@ def null_report(df: DataFrame, col: str) -> DataFrame:
 
 
 def filter_year_clip_negative(df: DataFrame, product: str, date: str, qty: str, year: int) -> DataFrame:
-    """Rows of one year with both keys; negative quantities become 0."""
-    kept = df.where((F.year(date) == year) & F.col(product).isNotNull() & F.col(date).isNotNull())
+    """Rows of one year with both keys and a quantity; negative quantities become 0."""
+    kept = df.where((F.year(date) == year) & F.col(product).isNotNull() & F.col(date).isNotNull() & F.col(qty).isNotNull())
     return kept.withColumn(qty, F.greatest(F.col(qty), F.lit(0.0)))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stockloom.operators.aggregates import one
+from stockloom.operators.components import components
 from stockloom.operators.features import feature_vector
 from stockloom.operators.prefix import row_positions
 from stockloom.session import written
@@ -181,23 +182,11 @@ def _cell_links(cores: DataFrame, dims: list[str], eps: float, levels: int = 5)
     return links.unionByName(last)
 
 
-def connected_labels(nodes: DataFrame, links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, label): the smallest node id of each component.
-
-    Each round takes the smallest neighbouring label and then follows labels one step, which halves the
-    length of chains. A round is written as a table; a cell has a bounded number of neighbours.
-    """
-    both = written(links.select(F.col("_a").alias("src"), F.col("_b").alias("dst")).unionByName(links.select(F.col("_b").alias("src"), F.col("_a").alias("dst"))))
-    labels = written(nodes.select("node", F.col("node").alias("label")))
-    for _ in range(max_rounds):
-        seen = both.join(labels, F.col("dst") == F.col("node")).groupBy("src").agg(F.min("label").alias("_m"))
-        step = labels.join(seen, F.col("node") == F.col("src"), "left").select("node", F.col("label").alias("_old"), F.least("label", F.coalesce("_m", "label")).alias("label"))
-        jump = step.select(F.col("node").alias("_n"), F.col("label").alias("_jl"))
-        new = written(step.join(jump, F.col("label") == F.col("_n")).select("node", "_old", F.col("_jl").alias("label")))
-        labels = new.select("node", "label")
-        if new.where("_old <> label").isEmpty():
-            return labels
-    raise RuntimeError("labels did not settle")
+def connected_labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, label): the smallest node id of each component, found by star contraction however long its chains are."""
+    found = written(components(links.select(F.col("_a").alias("a"), F.col("_b").alias("b"))))
+    joined = nodes.select(F.col("node").alias("_n")).join(found, F.col("_n") == F.col("node"), "left")
+    return joined.select(F.col("_n").alias("node"), F.coalesce("component", "_n").alias("label"))
 
 
 def dbscan_clusters(df: DataFrame, key: str, dims: list[str], eps: float, min_samples: int) -> DataFrame:
@@ -290,15 +279,14 @@ def davies_bouldin(df: DataFrame, cluster: str, cols: list[str]) -> DataFrame:
 
 
 def calinski_harabasz(df: DataFrame, cluster: str, cols: list[str]) -> DataFrame:
-    """(between / (k - 1)) / (within / (n - k)), from per-cluster moments in one pass."""
-    g = df.groupBy(cluster).agg(
-        one().cast("double").alias("_n"), *[F.avg(c).alias(f"_c_{c}") for c in cols],
-        sum((F.var_pop(c) for c in cols), F.lit(0.0)).alias("_v"),
-    )
-    sums = g.agg(
-        F.sum("_n").alias("n"), one().alias("k"), F.sum(F.col("_n") * F.col("_v")).alias("_w"),
-        *[F.sum(F.col("_n") * F.col(f"_c_{c}")).alias(f"_s_{c}") for c in cols],
-        F.sum(F.col("_n") * sum((F.pow(f"_c_{c}", 2) for c in cols), F.lit(0.0))).alias("_q"),
+    """(between / (k - 1)) / (within / (n - k)), from per-cluster moments; both sums are centred."""
+    g = written(
+        df.groupBy(cluster).agg(
+            one().cast("double").alias("_n"), *[F.avg(c).alias(f"_c_{c}") for c in cols],
+            sum((F.var_pop(c) for c in cols), F.lit(0.0)).alias("_v"),
+        )
     )
-    between = F.col("_q") - sum((F.pow(f"_s_{c}", 2) for c in cols), F.lit(0.0)) / F.col("n")
-    return sums.select(((between / (F.col("k") - 1)) / (F.col("_w") / (F.col("n") - F.col("k")))).alias("calinski_harabasz"), "k")
+    grand = g.agg(F.struct(*[(F.sum(F.col("_n") * F.col(f"_c_{c}")) / F.sum("_n")).alias(f"g_{c}") for c in cols]).alias("g")).scalar()
+    apart = sum((F.pow(F.col(f"_c_{c}") - F.col("_g")[f"g_{c}"], 2) for c in cols), F.lit(0.0))
+    sums = g.withColumn("_g", grand).agg(F.sum("_n").alias("n"), one().alias("k"), F.sum(F.col("_n") * F.col("_v")).alias("_w"), F.sum(F.col("_n") * apart).alias("_b"))
+    return sums.select(((F.col("_b") / (F.col("k") - 1)) / (F.col("_w") / (F.col("n") - F.col("k")))).alias("calinski_harabasz"), "k")

@@ -119,31 +119,26 @@ def canonical_ledger(raw: DataFrame, master: DataFrame) -> DataFrame:
 def demand_stats_by_dow(demand: DataFrame, product: str = "product_id", date: str = "date", qty: str = "qty") -> DataFrame:
     """Mean and std per product and the weekday factors mu_dow / mu, null on weekdays without sales.
 
-    One pass: per (product, weekday) sums of 1, x and x^2, then seven columns per product.
+    One pass of partial sums; Spark's own moments keep their digits on large totals.
     """
-    cells = demand.groupBy(product, F.weekday(date).alias("_w")).agg(
-        one().alias("_n"), F.sum(qty).alias("_s"), F.sum(F.col(qty) * F.col(qty)).alias("_ss")
-    )
-    n, s = F.sum("_n"), F.sum("_s")
-    mu = s / n
-    var = (F.sum("_ss") - n * mu * mu) / (n - 1)
-    factors = [(F.max(F.when(F.col("_w") == d, F.col("_s") / F.col("_n"))) / F.nullif(mu, F.lit(0.0))).alias(f"f{d}") for d in range(7)]
-    return cells.groupBy(product).agg(
-        mu.alias("mu"), F.when(n > 1, F.sqrt(F.greatest(var, F.lit(0.0)))).alias("sigma"), *factors
-    )
+    mu = F.avg(qty)
+    factors = [(F.avg(F.when(F.weekday(date) == d, F.col(qty))) / F.nullif(mu, F.lit(0.0))).alias(f"f{d}") for d in range(7)]
+    return demand.groupBy(product).agg(mu.alias("mu"), F.stddev_samp(qty).alias("sigma"), *factors)
 
 
 def safety_stock_dynamic(
-    items: DataFrame, stats: DataFrame, today: str | Column, service: str = "95", min_ss: int = 0, mode: str = "dynamic"
+    items: DataFrame, stats: DataFrame, today: str | Column, service: str = "95", min_ss: int = 0, mode: str = "dynamic", rounding: str = "ceil"
 ) -> DataFrame:
     """Mean demand and safety stock over the lead time of each item.
 
+    The daily mean is rounded up to whole units first; ``rounding`` of the stock is ``ceil`` or ``nearest``.
+
     The days of the lead time are folded inside each row over the seven weekday factors: no row per day.
     """
     z = P.SERVICE_Z[service]
     start = F.weekday(F.lit(today).cast("date") if isinstance(today, str) else today)
     j = items.join(stats, "product_id", "left")
-    mu = F.greatest(F.coalesce("mu", F.lit(0.0)), F.lit(0.0))
+    mu = F.ceil(F.greatest(F.coalesce("mu", F.lit(0.0)), F.lit(0.0))).cast("double")
     lead = F.greatest(F.coalesce(F.col("lead_time").cast("int"), F.lit(0)), F.lit(0))
     sigma = F.when(F.col("sigma") > 0, F.col("sigma")).otherwise(0.45 * mu)
     sigma = F.greatest(sigma, F.sqrt(mu))
@@ -158,7 +153,9 @@ def safety_stock_dynamic(
         mu_l, ss = mu * lead, 1.5 * mu
     else:
         raise ValueError(mode)
-    whole = F.ceil(ss).cast("long")
+    if rounding not in ("ceil", "nearest"):
+        raise ValueError(rounding)
+    whole = (F.ceil(ss) if rounding == "ceil" else F.rint(ss)).cast("long")
     floored = F.when((mu > 0) & (lead > 0), F.greatest(whole, F.lit(min_ss).cast("long"))).otherwise(whole)
     return j.withColumn("mu_day", mu).withColumn("mu_lead", mu_l).withColumn("ss", floored).drop("mu", "sigma", *[f"f{d}" for d in range(7)])
 

@@ -73,9 +73,14 @@ def tag_product_year(df: DataFrame, tags: DataFrame, product: str, date: str, co
 
 
 def product_master_outer_join(catalog: DataFrame, suppliers: DataFrame, product: str, order: str) -> DataFrame:
-    """Full outer join of the catalogue and the supplier map, one row per product on both sides."""
-    s = suppliers.groupBy(product).agg(F.min_by("supplier", order).alias("map_supplier"))
-    c = catalog.dropDuplicates([product])
+    """Full outer join of the catalogue and the supplier map, one row per product on both sides.
+
+    Of several catalogue rows of a product the least one by all its columns stays, of several suppliers
+    the first by (order, supplier).
+    """
+    s = suppliers.groupBy(product).agg(F.min_by("supplier", F.struct(order, "supplier")).alias("map_supplier"))
+    rest = [c for c in catalog.columns if c != product]
+    c = catalog.groupBy(product).agg(F.min(F.struct(*rest)).alias("_row")).select(product, *[F.col(f"_row.{n}").alias(n) for n in rest])
     return c.join(s, product, "full")
 
 

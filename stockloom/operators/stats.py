@@ -72,12 +72,11 @@ def anova_oneway(df: DataFrame, group: str, value: str) -> DataFrame:
     return g.agg(
         (one() - 1).alias("df_between"),
         (F.sum("n") - one()).alias("df_within"),
-        F.sum(F.col("n") * F.pow(F.col("m"), 2)).alias("_q"),
-        F.sum("n").alias("_n"),
+        F.sum(F.col("n") * F.pow(F.col("m") - grand.scalar(), 2)).alias("_q"),
         F.sum("ss").alias("_w"),
     ).select(
         "df_between", "df_within",
-        (((F.col("_q") - F.col("_n") * F.pow(grand.scalar(), 2)) / F.col("df_between")) / (F.col("_w") / F.col("df_within"))).alias("f"),
+        ((F.col("_q") / F.col("df_between")) / (F.col("_w") / F.col("df_within"))).alias("f"),
     )
 
 

@@ -24,16 +24,18 @@ def top_k_substitutes(subs: DataFrame, broken: DataFrame, product: str, substitu
 
 
 def representative_subset(products: DataFrame, cluster: str, product: str, demand: str, cv: str, flag: str, big: list[int], frac: float) -> DataFrame:
-    """All flagged products, all of the small clusters, and the top share of each big cluster by (demand, cv).
+    """All flagged products, all of the small clusters, and of each big cluster the top share by (demand, cv).
 
-    A big cluster may hold most products, so its positions come from a distributed order.
+    The share is counted and ranked among the products that are not flagged. A big cluster may hold most
+    products, so its positions come from a distributed order.
     """
-    small = products.where(~F.col(cluster).isin(*big))
-    large = products.where(F.col(cluster).isin(*big))
+    flagged = F.coalesce(F.col(flag), F.lit(0)) == 1
+    small = products.where(F.coalesce(~F.col(cluster).isin(*big), F.lit(True)) | flagged)
+    large = products.where(F.col(cluster).isin(*big) & ~flagged)
     order = [F.col(demand).desc_nulls_last(), F.col(cv).desc_nulls_last(), F.col(product).asc()]
     placed = row_positions(large, [cluster], order, "_pos")
     sizes = large.groupBy(cluster).agg(F.count(F.lit(1)).alias("_n"))
-    keep = (F.col("_pos") <= F.floor(F.col("_n") * frac)) | (F.coalesce(F.col(flag), F.lit(0)) == 1)
+    keep = F.col("_pos") <= F.floor(F.col("_n") * frac)
     return small.unionByName(placed.join(sizes, cluster).where(keep).select(*products.columns))
 
 

@@ -3,17 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def grouped_map_apply(df: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str, max_rows: int = 5_000_000) -> DataFrame:
-    """``fn`` over the frame of each group. A group is held by one task, so its size is checked first."""
-    biggest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    if biggest > max_rows:
-        raise ValueError(f"a group holds {biggest} rows; add a key (a day, a month) that cuts it")
+def grouped_map_apply(df: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """``fn`` over the frame of each group. A group is held by one task: cut large ones by a further key (a day, a month)."""
     return df.groupBy(*keys).applyInPandas(fn, schema)
 
 
@@ -26,11 +24,38 @@ def scalar_apply(col: Column | str, fn: Callable[[pd.Series], pd.Series], return
     return F.pandas_udf(call, return_type)(col)
 
 
-def custom_aggregate(df: DataFrame, keys: list[str], col: str, fn: Callable[[pd.Series], float], out: str, max_rows: int = 5_000_000) -> DataFrame:
-    """One number per group from the series of its values."""
+def custom_aggregate(
+    df: DataFrame,
+    keys: list[str],
+    col: str,
+    partial: Callable[[pd.Series], bytes],
+    merge: Callable[[bytes, bytes], bytes],
+    finish: Callable[[bytes], float],
+    out: str,
+) -> DataFrame:
+    """One number per group from a state that can be merged.
+
+    ``partial`` makes a state from some of the values, ``merge`` joins two states, ``finish`` reads the
+    result. States are made in the map tasks, batch by batch, and merged per group over two shuffles, the
+    first of them salted, so no task holds the values of a group.
+    """
+    kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
 
-    def call(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, out: [float(fn(pdf[col]))]})
+    def begin(frames):
+        for pdf in frames:
+            for key, values in pdf.groupby(keys, dropna=False)[col]:
+                yield pd.DataFrame({**{k: [v] for k, v in zip(keys, key)}, "_state": [partial(values)]})
 
-    kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
-    return grouped_map_apply(df.select(*keys, col), keys, call, f"{kinds}, {out} double", max_rows)
+    def joined(pdf: pd.DataFrame) -> bytes:
+        return reduce(merge, pdf["_state"])
+
+    def again(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "_state": [joined(pdf)]})
+
+    def end(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, out: [float(finish(joined(pdf)))]})
+
+    states = df.select(*keys, col).mapInPandas(begin, f"{kinds}, _state binary")
+    salted = states.withColumn("_salt", F.spark_partition_id() % 32)
+    some = salted.groupBy(*keys, "_salt").applyInPandas(again, f"{kinds}, _state binary")
+    return some.groupBy(*keys).applyInPandas(end, f"{kinds}, {out} double")

@@ -88,7 +88,7 @@ def _(t):
 
 @query(
     "filter_year_clip_negative",
-    "SELECT * REPLACE (greatest(coalesce(qty, 0), 0) AS qty) FROM dirty WHERE year(date) = 1998 AND product_id IS NOT NULL",
+    "SELECT * REPLACE (greatest(qty, 0) AS qty) FROM dirty WHERE year(date) = 1998 AND product_id IS NOT NULL AND qty IS NOT NULL",
     ctes="dirty",
     doubles="qty",
 )
@@ -358,8 +358,8 @@ def _(t):
     """WITH p AS (SELECT product_id, sum(qty) AS demand, stddev_samp(qty) / avg(qty) AS cv, max(is_outlier) AS is_outlier,
          CASE WHEN product_id % 4 < 3 THEN 0 ELSE 1 END AS cluster FROM flagged GROUP BY product_id)
        SELECT product_id, demand, is_outlier, cluster FROM (
-         SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY demand DESC, floor(cv * 1e6) DESC NULLS LAST, product_id) AS pos,
-           count(*) OVER (PARTITION BY cluster) AS n FROM p) WHERE cluster = 1 OR pos <= floor(n * 0.6) OR is_outlier = 1""",
+         SELECT *, row_number() OVER (PARTITION BY cluster, is_outlier ORDER BY demand DESC, floor(cv * 1e6) DESC NULLS LAST, product_id) AS pos,
+           count(*) FILTER (is_outlier = 0) OVER (PARTITION BY cluster) AS n FROM p) WHERE cluster = 1 OR pos <= floor(n * 0.6) OR is_outlier = 1""",
     ctes="flagged",
     doubles="demand",
 )

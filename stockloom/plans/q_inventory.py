@@ -141,7 +141,7 @@ CTES["safety"] = (
        SELECT *, CAST(ceil(1.6449::DOUBLE * greatest(CASE WHEN sigma > 0 THEN sigma ELSE 0.45 * mu END, sqrt(mu)) * sqrt(sf2)) AS BIGINT) AS raw_ss FROM (
          SELECT product_id, stock, lead_time, mu, sigma, sum(f) AS sf, sum(f * f) AS sf2 FROM (
            SELECT i.*, s.mu, s.sigma, coalesce(CASE (i.k + 0) % 7 WHEN 0 THEN f0 WHEN 1 THEN f1 WHEN 2 THEN f2 WHEN 3 THEN f3 WHEN 4 THEN f4 WHEN 5 THEN f5 ELSE f6 END, 1.0) AS f
-           FROM (SELECT *, unnest(generate_series(0, lead_time - 1)) AS k FROM lead_items) i JOIN dow_stats s USING (product_id)) GROUP BY ALL))""",
+           FROM (SELECT *, unnest(generate_series(0, lead_time - 1)) AS k FROM lead_items) i JOIN (SELECT * REPLACE (ceil(mu) AS mu) FROM dow_stats) s USING (product_id)) GROUP BY ALL))""",
 )
 
 

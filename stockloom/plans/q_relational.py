@@ -151,16 +151,16 @@ def _(t):
 @query(
     "product_master_outer_join",
     """SELECT coalesce(c.product_id, s.product_id) AS product_id, c.name, s.map_supplier
-       FROM (SELECT * FROM catalog WHERE pack_size <= 40) c FULL JOIN
-       (SELECT product_id, arg_min('P' || supplier_id, supplier_id) AS map_supplier FROM offers WHERE availability > 48 GROUP BY product_id) s
+       FROM catalog c FULL JOIN
+       (SELECT product_id, arg_min('P' || supplier_id, supplier_id) AS map_supplier FROM offers GROUP BY product_id) s
        ON c.product_id = s.product_id""",
     ctes="catalog offers",
 )
 def _(t):
-    sup = t.offers.where("availability > 48").select(
+    sup = t.offers.select(
         "product_id", "supplier_id", F.concat(F.lit("P"), F.col("supplier_id").cast("string")).alias("supplier")
     )
-    c = t.catalog.where("pack_size <= 40").select("product_id", "name")
+    c = t.catalog.select("product_id", "name")
     return J.product_master_outer_join(c, sup, "product_id", "supplier_id")
 
 
@@ -360,14 +360,17 @@ def _(t):
 
 @query(
     "merge_minor_categories",
-    """SELECT product_id, date, qty, CASE WHEN t / (SELECT sum(qty) FROM sales) < 0.04 OR p < 70 THEN 'Otros' ELSE brand END AS brand
-       FROM demand JOIN catalog USING (product_id) JOIN (SELECT brand, sum(qty) AS t, count(DISTINCT product_id) AS p FROM demand JOIN catalog USING (product_id) GROUP BY brand) USING (brand)""",
-    ctes="sales demand catalog",
+    """WITH b AS (SELECT product_id, date, qty, CASE WHEN pack_size = 9 THEN NULL ELSE brand END AS brand FROM demand JOIN catalog USING (product_id)),
+         k AS (SELECT brand, sum(qty) AS t, count(DISTINCT product_id) AS p FROM b WHERE brand IS NOT NULL GROUP BY brand)
+       SELECT product_id, date, qty, CASE WHEN brand IN (SELECT brand FROM k WHERE t / (SELECT sum(t) FROM k) < 0.04 OR p < (SELECT sum(p) FROM k) * 0.0395) THEN 'Otros' ELSE brand END AS brand FROM b""",
+    ctes="demand catalog",
     doubles="qty",
 )
 def _(t):
-    df = t.demand.join(t.catalog.select("product_id", "brand"), "product_id")
-    return A.merge_minor_categories(df, "brand", "product_id", "qty", 0.04, 70)
+    brand = F.when(F.col("pack_size") != 9, F.col("brand")).alias("brand")
+    df = t.demand.join(t.catalog.select("product_id", brand), "product_id")
+    products = df.where("brand is not null").select("product_id").distinct().count()
+    return A.merge_minor_categories(df, "brand", "product_id", "qty", 0.04, products * 0.0395)
 
 
 CTES["year_coverage"] = (
@@ -914,12 +917,14 @@ def _(t):
 
 @query(
     "z_scale_per_cluster",
-    """SELECT cluster_id, date, (x - avg(x) OVER w) / stddev_pop(x) OVER w AS x FROM (SELECT cluster_id, date, CASE WHEN qty > 200 THEN 0 ELSE qty END AS x FROM cluster_days) WINDOW w AS (PARTITION BY cluster_id)""",
+    """SELECT cluster_id, date, coalesce((x - avg(x) OVER w) / nullif(stddev_pop(x) OVER w, 0), 0) AS x FROM (
+         SELECT cluster_id, date, CASE WHEN qty > (SELECT quantile_cont(qty, 0.9) FROM cluster_days) THEN 0 ELSE qty END AS x FROM cluster_days) WINDOW w AS (PARTITION BY cluster_id)""",
     ctes="cluster_days",
     doubles="x",
 )
 def _(t):
-    df = t.cluster_days.select("cluster_id", "date", F.when(F.col("qty") <= 200, F.col("qty")).alias("x"))
+    high = t.cluster_days.agg(F.percentile("qty", 0.9)).scalar()
+    df = t.cluster_days.select("cluster_id", "date", F.when(F.col("qty") <= high, F.col("qty")).alias("x"))
     return W.z_scale_per_cluster(df, "cluster_id", ["x"])
 
 

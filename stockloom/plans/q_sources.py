@@ -135,12 +135,29 @@ def _(t):
 
 @query(
     "custom_aggregate",
-    "SELECT product_id, max(qty) - min(qty) AS spread FROM demand GROUP BY product_id",
+    """SELECT product_id, count(*) FILTER (pos % 2 = 1)::DOUBLE AS odd_gaps FROM (
+         SELECT product_id, lead(d) OVER (PARTITION BY product_id ORDER BY d) - d AS pos FROM (SELECT DISTINCT product_id, date - DATE '1990-01-01' AS d FROM demand)) GROUP BY product_id""",
     ctes="demand",
-    doubles="spread",
 )
 def _(t):
-    return H.custom_aggregate(t.demand, ["product_id"], "qty", lambda s: s.max() - s.min(), "spread")
+    # the set of days as a bit mask is a state that SQL aggregates do not have; it is read for odd gaps
+    def partial(days):
+        mask = 0
+        for d in days:
+            mask |= 1 << int(d)
+        return mask.to_bytes((mask.bit_length() + 7) // 8, "little")
+
+    def merge(a, b):
+        both = int.from_bytes(a, "little") | int.from_bytes(b, "little")
+        return both.to_bytes((both.bit_length() + 7) // 8, "little")
+
+    def finish(state):
+        mask = int.from_bytes(state, "little")
+        days = [i for i in range(mask.bit_length()) if mask >> i & 1]
+        return sum((b - a) % 2 for a, b in zip(days, days[1:]))
+
+    days = t.demand.select("product_id", F.datediff("date", F.lit("1990-01-01").cast("date")).alias("day"))
+    return H.custom_aggregate(days, ["product_id"], "day", partial, merge, finish, "odd_gaps")
 
 
 def _events(t):

@@ -99,12 +99,12 @@ def long(t):
 
 @query(
     "descriptive_stats_by_year",
-    "SELECT year, count(*) AS n, avg(x) AS mean, median(x) AS median, stddev_samp(x) AS std, stddev_samp(x) / avg(x) AS cv, quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS iqr FROM pmeans GROUP BY year",
-    ctes="pmeans",
+    "SELECT year, count(*) AS n, avg(x) AS mean, median(x) AS median, stddev_samp(x) AS std, stddev_samp(x) / avg(x) AS cv, quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS iqr FROM plong GROUP BY year",
+    ctes="plong",
     doubles="mean median std cv iqr",
 )
 def _(t):
-    return S.descriptive_stats_by_year(means(t))
+    return S.descriptive_stats_by_year(long(t))
 
 
 @query(
@@ -194,9 +194,9 @@ def _(t):
             3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9)) AS beta,
             (m4 / (m2 * m2) - 3 * (n - 1) / (n + 1)) / sqrt(24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5))) AS x,
             6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))) AS rt
-          FROM (SELECT year, count(*)::DOUBLE AS n, avg(pow(x - mu, 2)) AS m2, avg(pow(x - mu, 3)) AS m3, avg(pow(x - mu, 4)) AS m4 FROM (SELECT year, x, avg(x) OVER (PARTITION BY year) AS mu FROM pmeans) GROUP BY year))))""",
-    ctes="pmeans",
+          FROM (SELECT year, count(*)::DOUBLE AS n, avg(pow(x - mu, 2)) AS m2, avg(pow(x - mu, 3)) AS m3, avg(pow(x - mu, 4)) AS m4 FROM (SELECT year, x, avg(x) OVER (PARTITION BY year) AS mu FROM plong) GROUP BY year))))""",
+    ctes="plong",
     doubles="z_skew z_kurt k2 p",
 )
 def _(t):
-    return S.dagostino_normality(means(t), "year", "x")
+    return S.dagostino_normality(long(t), "year", "x")

@@ -37,7 +37,7 @@ def test_unit_conflicts(spark):
 
 
 def test_numbers_and_flags(spark):
-    assert values(spark, ["1.234,56 €", "abc", "12.5", None], T.parse_localized_number("x")) == [1234.56, None, 12.5, None]
+    assert values(spark, ["1.234,56 €", "abc", "1.234 €", "-0,5", None], T.parse_localized_number("x")) == [1234.56, None, 1234.0, -0.5, None]
     assert values(spark, ["Sí", "0", "no", None, "verdadero"], T.normalize_bool("x")) == [True, False, False, False, True]
     assert values(spark, ["1|2", "3, 4", "", None], T.parse_scope_values("x")) == [[1, 2], [3, 4], [], []]
 
