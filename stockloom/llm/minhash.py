@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stockloom.llm.arrays import FOLD, IS_SPACE, LOWER, flat, grams, lists, mixed, pieces, prefix, spans, within, words
-from stockloom.llm.components import components
 from stockloom.llm.keyfilter import found, id_key, key_filter
+from stockloom.operators.components import components
 from stockloom.session import written
 
 # 32 bands of 4 rows: a pair at Jaccard 0.8 shares no band with probability (1 - 0.8**4)**32 < 5e-8.
@@ -78,7 +78,10 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """``doc_id, n_shingles, d1, d2, bands``: d1 and d2 are a 128-bit digest of the whole shingle set."""
+    """``doc_id, n_shingles, d1, d2, bands, code``: d1 and d2 are a 128-bit digest of the whole shingle set.
+
+    ``code`` has the lowest byte of every coordinate of the signature.
+    """
 
     def run(batches):
         for piece in pieces(batches):
@@ -86,17 +89,23 @@ def _signed(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
             full = counts > 0
             heads = (np.cumsum(counts) - counts)[full]
             digests = np.zeros((2, len(counts)), np.uint64)
-            keys = np.zeros((0, bands), np.uint64)
+            keys, code = np.zeros((0, bands), np.uint64), np.zeros((0, bands * rows), np.int8)
             if len(heads):
                 digests[0, full] = np.add.reduceat(mixed(flat_set), heads)
                 digests[1, full] = np.add.reduceat(mixed(flat_set * FOLD + np.uint64(1)), heads)
-                keys = band_keys(signatures(flat_set, counts[full], bands * rows), bands, rows)
+                signature = signatures(flat_set, counts[full], bands * rows)
+                keys, code = band_keys(signature, bands, rows), signature.T.astype(np.uint8).view(np.int8)
             yield pa.RecordBatch.from_arrays(
-                [piece.column("doc_id"), pa.array(counts), pa.array(digests[0].view(np.int64)), pa.array(digests[1].view(np.int64)), lists(keys.reshape(-1).view(np.int64), full * bands)],
-                names=["doc_id", "n_shingles", "d1", "d2", "bands"],
-            )
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>")
+                [
+                    piece.column("doc_id"), pa.array(counts), pa.array(digests[0].view(np.int64)), pa.array(digests[1].view(np.int64)),
+                    lists(keys.reshape(-1).view(np.int64), full * bands), lists(code.reshape(-1), full * bands * rows),
+                ],
+                names=["doc_id", "n_shingles", "d1", "d2", "bands", "code"],
+            )
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+        run, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, code array<tinyint>"
+    )
 
 
 def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -132,9 +141,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
 
     Texts with equal shingle sets become one class before anything is paired. In a bucket of one band
     the classes are compared with one pivot, chosen anew by each band, so a bucket of n classes makes
-    n - 1 pairs. Only where a bucket then still holds classes of different components are these compared
-    with each other across the components: every pair that shares a band and could join two components
-    is verified on its full sets, and pairs inside one component cannot change the result.
+    n - 1 pairs. Pairs inside one component cannot change the result; only where a bucket then still holds
+    classes of different components is there more to verify, and every pair that shares a band and could
+    join two components is: a class of the smaller component against all members of the larger one, in
+    blocks of bounded size that return just the links (``_against_components``), and classes that have no
+    link yet against each other, each pair in its first common bucket only, if enough coordinates of their
+    signatures agree (fewer than the least number at 0.8 has a probability below 2e-6).
 
     Nulls and empty texts have no shingles and no links. A row without ``doc_id`` cannot be named: it has
     a null ``component_id``, links nothing and is kept. Rows that repeat a ``doc_id`` are one node with
@@ -142,19 +154,25 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     """
     signed = written(_signed(docs, k, bands, rows))
     classes = written(signed.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")))
-    named = signed.join(classes, ["d1", "d2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("rep")).alias("rep"), "bands")
+    named = signed.join(classes, ["d1", "d2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("rep")).alias("rep"), "bands", "code")
     members = written(
-        named.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep"), F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands"))
+        named.select(
+            "doc_id",
+            "n_shingles",
+            F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep"),
+            F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands"),
+            F.when(F.col("doc_id") == F.col("rep"), F.col("code")).alias("code"),
+        )
     )
-    links = _links(docs, members, k, percent)
+    links = _links(docs, members, k, percent, bands * rows)
     found_ids = written(components(links))
     joined = members.join(found_ids, members["rep"] == found_ids["node"], "left")
     component = F.coalesce("component", "rep")
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _links(docs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
-    reps = members.where(F.size("bands") > 0).select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
+def _links(docs: DataFrame, members: DataFrame, k: int, percent: int, coordinates: int) -> DataFrame:
+    reps = members.where(F.size("bands") > 0).select("rep", F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "key"))
     pivots = written(
         reps.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min(F.col("rep").bitwiseXOR(F.col("key"))).alias("p")).where("c > 1").select("key", "c", F.col("p").bitwiseXOR(F.col("key")).alias("pivot"))
     )
@@ -164,23 +182,104 @@ def _links(docs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFra
     sets = written(_sets(docs, ids, k))
     sure = written(_confirmed(pairs, sets, percent))
     known = written(components(sure))
-    placed = (
+    sized = written(known.groupBy("component").agg(F.count(F.lit(1)).alias("members")))
+    named = written(known.join(sized, "component").select(F.col("node").alias("rep"), "component", "members"))
+    placed = written(
         buckets.where("c > 2")
-        .join(known, buckets["rep"] == known["node"], "left")
-        .select("key", "rep", "n", "pivot", F.coalesce("component", "rep").alias("component"))
+        .join(named, "rep", "left")
+        .select("key", "band", "rep", "n", "pivot", F.coalesce("component", "rep").alias("component"), F.coalesce("members", F.lit(1)).alias("members"))
     )
-    placed = written(placed)
     split = written(placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key"))
     open_rows = written(placed.join(split, "key"))
-    x, y = open_rows.alias("x"), open_rows.alias("y")
-    across = (
-        x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")))
-        .where("x.component <> y.component and x.rep <> x.pivot and y.rep <> y.pivot")
-        .where(F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent)
-        .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+    to_members = _against_components(open_rows, named, sets, percent)
+    singles = _between_singles(open_rows, members, sets, percent, coordinates)
+    return sure.unionByName(to_members).unionByName(singles)
+
+
+def _between_singles(open_rows: DataFrame, members: DataFrame, sets: DataFrame, percent: int, coordinates: int) -> DataFrame:
+    """Links between classes that have none yet and share a bucket."""
+    share = percent / 100
+    least = int(coordinates * share - 4.7 * (coordinates * share * (1 - share)) ** 0.5)
+    signed = members.where(F.size("bands") > 0).select("rep", "bands", "code")
+    rows = written(open_rows.where("members = 1").select("key", "band", "rep", "n", "pivot").join(signed, "rep"))
+    x, y = rows.alias("x"), rows.alias("y")
+    earlier = F.exists(F.zip_with(F.slice("x.bands", F.lit(1), F.col("x.band")), F.slice("y.bands", F.lit(1), F.col("x.band")), lambda p, q: p == q), lambda e: e)
+    agree = F.size(F.filter(F.zip_with("x.code", "y.code", lambda p, q: p == q), lambda e: e))
+    pairs = x.join(
+        y,
+        (F.col("x.key") == F.col("y.key"))
+        & (F.col("x.rep") < F.col("y.rep"))
+        & (F.col("x.rep") != F.col("x.pivot"))
+        & (F.col("y.rep") != F.col("y.pivot"))
+        & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent)
+        & ~earlier
+        & (agree >= least),
+    )
+    return _confirmed(written(pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()), sets, percent)
+
+
+BLOCK_MEMBERS, BLOCK_QUERIES = 512, 2048
+
+
+def _against_components(open_rows: DataFrame, named: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """A link from a class to a component of two or more with which it shares a bucket, if there is one.
+
+    Of two components the larger (then the one with the greater id) is searched. Its members and the
+    classes that ask are dealt into blocks of bounded size, and every block of members meets every block
+    of classes in one call, which counts common shingles and returns at most one link per class.
+    """
+    targets = open_rows.where("members > 1").select("key", F.col("component").alias("target"), F.col("members").alias("target_members")).distinct()
+    asked = (
+        open_rows.alias("o")
+        .join(targets.alias("t"), (F.col("o.key") == F.col("t.key")) & (F.struct("o.members", "o.component") < F.struct("t.target_members", "t.target")))
+        .select("o.rep", "t.target", "t.target_members")
         .distinct()
     )
-    return sure.unionByName(_confirmed(written(across), sets, percent))
+    asked = written(asked)
+    load = written(asked.groupBy("target", "target_members").agg(F.count(F.lit(1)).alias("queries")))
+    blocks = load.select(
+        "target", F.ceil(F.col("target_members") / BLOCK_MEMBERS).cast("int").alias("nb"), F.ceil(F.col("queries") / BLOCK_QUERIES).cast("int").alias("nq")
+    )
+    blocks = written(blocks)
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    members = named.select("rep", F.col("component").alias("target")).join(blocks, "target").select("rep", "target", deal("rep", "nb").alias("b"), every("nq").alias("q"))
+    queries = asked.join(blocks, "target").select("rep", "target", deal("rep", "nq").alias("q"), every("nb").alias("b"))
+
+    def of(rows: DataFrame) -> DataFrame:
+        own = sets.select(F.col("doc_id").alias("own_id"), F.col("shingles").alias("own"))
+        joined = rows.join(own, F.col("rep") == F.col("own_id"))
+        return joined.select(*(F.col(c).alias(c) for c in ("target", "b", "q", "rep")), F.col("own").alias("shingles"))
+
+    def run(one: pa.Table, two: pa.Table) -> pa.Table:
+        return linked_to_block(one, two, percent)
+
+    grouped = of(members).groupBy("target", "b", "q").cogroup(of(queries).groupBy("target", "b", "q"))
+    return grouped.applyInArrow(run, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def linked_to_block(members: pa.Table, queries: pa.Table, percent: int) -> pa.Table:
+    """Per query the first member whose set is similar enough: ``a`` the query's id, ``b`` the member's."""
+    out: tuple[list, list] = ([], [])
+    if members.num_rows and queries.num_rows:
+        ids = members.column("rep").to_numpy()
+        column = members.column("shingles").combine_chunks()
+        sizes = np.diff(column.offsets.to_numpy())
+        values = column.flatten().to_numpy()
+        owner = np.repeat(np.arange(len(ids)), sizes)
+        by = np.argsort(values, kind="stable")
+        values, owner = values[by], owner[by]
+        for rep, own in zip(queries.column("rep").to_pylist(), queries.column("shingles")):
+            own = own.values.to_numpy()
+            low = np.searchsorted(values, own, "left")
+            count = np.searchsorted(values, own, "right") - low
+            at = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            common = np.bincount(owner[at], minlength=len(ids))
+            hit = np.flatnonzero(common * 100 >= percent * (sizes + len(own) - common))
+            if len(hit):
+                out[0].append(rep)
+                out[1].append(int(ids[hit[0]]))
+    return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
 
 
 def without_near_duplicates(docs: DataFrame, **how) -> DataFrame:
