@@ -218,11 +218,18 @@ def window_overrides(windows: DataFrame, patch: DataFrame, cols: list[str], key:
     return joined.withColumns({c: F.coalesce(f"_{c}", c) for c in cols}).select(*windows.columns)
 
 
-def resolve_duplicates(df: DataFrame, keys: list[str], qty: str, strategy: str, order: list[str], others: list[str] = ()) -> DataFrame:
-    """One row per key. ``order`` replaces "first": the other columns take their first non-null value in it."""
+def resolve_duplicates(df: DataFrame, keys: list[str], qty: str, strategy: str | list[str], order: list[str], others: list[str] = ()) -> DataFrame:
+    """One row per key. ``order`` replaces "first": the other columns take their first non-null value in it.
+
+    Several strategies are computed in one pass, each in a column ``<qty>_<strategy>``.
+    """
     # The key columns of the order itself are spelled out so that equal rows give equal results.
     rank = F.struct(*[F.col(c) for c in order])
     how = {"mean": F.avg, "sum": F.sum, "max": F.max}
-    value = F.min_by(qty, F.when(F.col(qty).isNotNull(), rank)) if strategy == "first" else how[strategy](qty)
+    many = [strategy] if isinstance(strategy, str) else strategy
+    values = [
+        (F.min_by(qty, F.when(F.col(qty).isNotNull(), rank)) if s == "first" else how[s](qty)).alias(qty if isinstance(strategy, str) else f"{qty}_{s}")
+        for s in many
+    ]
     rest = [F.min_by(c, F.when(F.col(c).isNotNull(), rank)).alias(c) for c in others]
-    return df.groupBy(*keys).agg(value.alias(qty), *rest)
+    return df.groupBy(*keys).agg(*values, *rest)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockloom.session import written
+from stockloom.session import discard, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -17,10 +17,15 @@ def components(edges: DataFrame) -> DataFrame:
     before they are joined, which lets Spark split the rows of a node with very many edges. Rounds go
     on until nothing changes; loops and repeated edges do no harm, and no edges give no rows.
     """
+    spark = edges.sparkSession
     now = written(edges.where("a <> b").select("a", "b").distinct())
     before = None
     while True:
-        now = written(_star(_star(now, larger=True), larger=False).distinct())
+        wide, least = _star(now, larger=True)
+        tight, least_again = _star(wide, larger=False)
+        new = written(tight.distinct())
+        discard(spark, now, least, least_again)
+        now = new
         mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         if before == tuple(mark):
             break
@@ -30,7 +35,8 @@ def components(edges: DataFrame) -> DataFrame:
     return leaves.groupBy("node").agg(F.min("component").alias("component")).unionByName(roots)
 
 
-def _star(edges: DataFrame, larger: bool) -> DataFrame:
+def _star(edges: DataFrame, larger: bool) -> tuple[DataFrame, DataFrame]:
+    """One star step and the table of smallest neighbours that it reads."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     near = both if larger else both.where("b <= a")
     least = written(near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
@@ -38,4 +44,4 @@ def _star(edges: DataFrame, larger: bool) -> DataFrame:
     linked = picked.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     if not larger:
         linked = linked.unionByName(least.select("a", F.col("m").alias("b")))
-    return linked.where("a <> b")
+    return linked.where("a <> b"), least

@@ -88,13 +88,15 @@ def _window_stats(daily: DataFrame, windows: DataFrame, k: int, total: str) -> D
     d = days.join(daily.select("date", F.col(total).alias("_t")), "date")
     inside = F.col("date").between(F.col("start"), F.col("end"))
     keys = ["year", "event", "shift", "start", "end"]
-    return d.groupBy(*keys).agg(
+    seen = d.groupBy(*keys).agg(
         F.avg(F.when(inside, F.col("_t"))).alias("mean_event"),
         F.avg(F.when(~inside, F.col("_t"))).alias("_local"),
         count_if(~inside).alias("_n_local"),
         F.sum(F.when(inside, F.col("_t"))).alias("_os"),
         count_if(inside).alias("_on"),
     )
+    # windows without any day keep their row
+    return windows.select(*keys).join(seen, keys, "left").na.fill(0, ["_n_local", "_on"])
 
 
 def _with_fallback(stats: DataFrame, daily: DataFrame, total: str) -> DataFrame:

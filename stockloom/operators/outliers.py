@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stockloom.session import written
 from stockloom.operators.prefix import exact_quantiles
 
 
@@ -99,7 +100,7 @@ def classify_product_year(
     yearly = flags.groupBy(product, "year").agg(
         F.sum(qty).alias("year_total"), F.avg(F.col("flag_any").cast("double")).alias("share_flagged")
     )
-    topped = top_by_year(yearly, "year_total", "year", top_n, percentile, product)
+    topped = top_by_year(written(yearly), "year_total", "year", top_n, percentile, product)
     kind = F.when(F.col("is_top"), "top_venta").when(F.col("share_flagged") < isolated, "pico_aislado").otherwise("mixto")
     return topped.withColumn("kind", kind).withColumn("decision", decision_for(F.col("kind"))).drop("is_top")
 

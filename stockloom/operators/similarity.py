@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stockloom.operators.prefix import row_positions
 from stockloom.session import written
 
 
@@ -15,8 +16,9 @@ def internal_substitute_score(alt: DataFrame) -> DataFrame:
         return F.coalesce(F.least(F.lit(1.0), F.col(a) / F.nullif(F.col(b), F.lit(0))), F.lit(0.0))
 
     raw = 0.5 * ratio("availability", "pref_availability") + 0.25 * ratio("pref_lead_time", "lead_time") + 0.25 * ratio("pref_price", "price")
-    w = Window.partitionBy("product_id").orderBy(F.desc("availability"), "lead_time", "price", "supplier_id")
-    return alt.withColumn("score", F.greatest(F.least(raw, F.lit(1.0)), F.lit(0.0))).withColumn("priority", F.row_number().over(w))
+    order = [F.col("availability").desc(), F.col("lead_time").asc(), F.col("price").asc(), F.col("supplier_id").asc()]
+    scored = alt.withColumn("score", F.greatest(F.least(raw, F.lit(1.0)), F.lit(0.0)))
+    return row_positions(scored, ["product_id"], order, "priority").withColumn("priority", F.col("priority").cast("int"))
 
 
 def _tokens(products: DataFrame, name: str) -> DataFrame:

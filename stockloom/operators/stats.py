@@ -7,14 +7,17 @@ running total. Only p-values are short formulas on the driver, over one collecte
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from itertools import combinations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stockloom.functions import dates as D
 from stockloom.operators.aggregates import one
 from stockloom.operators.prefix import average_ranks, exact_quantiles
+from stockloom.session import written
 
 
 def product_means(demand: DataFrame, product: str, date: str, qty: str, years: list[int]) -> DataFrame:
@@ -47,7 +50,8 @@ def year_pairs(wide: DataFrame, key: str, years: list[int]) -> DataFrame:
 
 
 def pearson_by_year_pair(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("pair").agg(F.corr("a", "b").alias("pearson"), one().alias("n"))
+    got = pairs.groupBy("pair").agg(F.corr("a", "b").alias("pearson"), one().alias("n"))
+    return got.withColumn("p", tail(correlation_p, "pearson", "n"))
 
 
 def daily_curve_pairs(daily: DataFrame, date: str, total: str, years: list[int]) -> DataFrame:
@@ -60,9 +64,10 @@ def daily_curve_pairs(daily: DataFrame, date: str, total: str, years: list[int])
 
 
 def spearman_by_year_pair(pairs: DataFrame) -> DataFrame:
+    pairs = written(pairs)  # each rank reads it again
     ra = average_ranks(pairs, ["pair"], "a", "_ra").select("pair", "a", "_ra")
     rb = average_ranks(pairs, ["pair"], "b", "_rb").select("pair", "b", "_rb")
-    return pairs.join(ra, ["pair", "a"]).join(rb, ["pair", "b"]).groupBy("pair").agg(F.corr("_ra", "_rb").alias("spearman"), one().alias("n"))
+    return pairs.join(ra, ["pair", "a"]).join(rb, ["pair", "b"]).groupBy("pair").agg(F.corr("_ra", "_rb").alias("spearman"), one().alias("n")).withColumn("p", tail(correlation_p, "spearman", "n"))
 
 
 def anova_oneway(df: DataFrame, group: str, value: str) -> DataFrame:
@@ -77,7 +82,7 @@ def anova_oneway(df: DataFrame, group: str, value: str) -> DataFrame:
     ).select(
         "df_between", "df_within",
         ((F.col("_q") / F.col("df_between")) / (F.col("_w") / F.col("df_within"))).alias("f"),
-    )
+    ).withColumn("p", tail(f_survival, "f", "df_between", "df_within"))
 
 
 def levene_median(df: DataFrame, group: str, value: str) -> DataFrame:
@@ -87,7 +92,7 @@ def levene_median(df: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def kruskal_wallis(df: DataFrame, group: str, value: str) -> DataFrame:
-    """H with tie correction; the p-value has a closed form for three groups."""
+    """H with tie correction, and its p-value for any number of groups."""
     counted = df.groupBy(group, value).agg(one().alias("_c"))
     ranks = average_ranks(df, [], value, "_r")
     ties = ranks.agg(F.sum(F.pow("n", 3) - F.col("n")).alias("_t"), F.sum("n").cast("double").alias("_n")).select(
@@ -100,7 +105,7 @@ def kruskal_wallis(df: DataFrame, group: str, value: str) -> DataFrame:
     n = F.col("_s._n")
     raw = 12 / (n * (n + 1)) * F.col("_q") - 3 * (n + 1)
     h = raw / (1 - F.col("_s._t") / (F.pow(n, 3) - n))
-    return row.select(h.alias("h"), "k").withColumn("p", F.when(F.col("k") == 3, F.exp(-F.col("h") / 2)))
+    return row.select(h.alias("h"), "k").withColumn("p", tail(chi2_survival, "h", F.col("k") - 1))
 
 
 def friedman(wide: DataFrame, key: str, years: list[int]) -> DataFrame:
@@ -127,7 +132,7 @@ def friedman(wide: DataFrame, key: str, years: list[int]) -> DataFrame:
     raw = 12 / (n * k * (k + 1)) * q - 3 * n * (k + 1)
     chi = raw / (1 - F.col("_t") / (n * k * (k * k - 1)))
     out = row.select(chi.alias("chi2"), F.col("_n").cast("long").alias("n"))
-    return out.withColumn("p", F.exp(-F.col("chi2") / 2) if k == 3 else F.lit(None).cast("double"))
+    return out.withColumn("p", tail(chi2_survival, "chi2", F.lit(k - 1)))
 
 
 def wilcoxon_pairs(pairs: DataFrame) -> DataFrame:
@@ -143,7 +148,10 @@ def wilcoxon_pairs(pairs: DataFrame) -> DataFrame:
     n = F.col("n").cast("double")
     w = F.least("_p", "_m")
     var = n * (n + 1) * (2 * n + 1) / 24 - F.col("_t") / 48
-    return sums.join(ties, "pair").select("pair", "n", w.alias("w"), ((w - n * (n + 1) / 4) / F.sqrt(var)).alias("z"))
+    scored = sums.join(ties, "pair").select("pair", "n", w.alias("w"), ((w - n * (n + 1) / 4) / F.sqrt(var)).alias("z"))
+    tests = pairs.select("pair").distinct().agg(one()).scalar()
+    judged = scored.withColumn("p", tail(normal_two_sided, "z"))
+    return judged.withColumn("p_bonferroni", F.least(F.lit(1.0), F.col("p") * tests))
 
 
 def dagostino_normality(df: DataFrame, group: str, value: str) -> DataFrame:
@@ -179,8 +187,41 @@ def normal_two_sided(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 
 
-def bonferroni(p: float, tests: int) -> float:
-    return min(1.0, p * tests)
+def tail(fn: Callable[..., float], *cols: str | Column) -> Column:
+    """A p-value column over the few rows of a test's result. A null or undefined statistic has a null p."""
+
+    def of(*series: pd.Series) -> pd.Series:
+        rows = zip(*series)
+        return pd.Series([fn(*map(float, r)) if not any(pd.isna(v) for v in r) else None for r in rows], dtype="float64")
+
+    return F.pandas_udf(of, "double")(*[c if isinstance(c, Column) else F.col(c) for c in cols])
+
+
+def correlation_p(r: float, n: float) -> float:
+    """Two-sided p of a correlation over ``n`` pairs: t squared is F with (1, n - 2) degrees of freedom."""
+    if n <= 2:
+        return 1.0
+    return f_survival(r * r * (n - 2) / (1 - r * r), 1, n - 2) if abs(r) < 1 else 0.0
+
+
+def chi2_survival(x: float, df: float) -> float:
+    """P(X > x) for chi-square: the upper incomplete gamma integral by its series or its continued fraction."""
+    if x <= 0:
+        return 1.0
+    a, y = df / 2, x / 2
+    front = math.exp(a * math.log(y) - y - math.lgamma(a))
+    if y < a + 1:
+        term = total = 1 / a
+        n = a
+        while term > total * 1e-17:
+            n += 1
+            term *= y / n
+            total += term
+        return max(0.0, 1 - front * total)
+    value = 0.0
+    for i in range(300, 0, -1):
+        value = i * (i - a) / (y + 2 * i + 1 - a - value)
+    return front / (y + 1 - a - value)
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:

@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stockloom.operators.prefix import running_total
+from stockloom.operators.prefix import row_positions, running_total
 
 
 def _series(groups: list[str], date: str):
@@ -82,14 +82,17 @@ def repair_single_preferred(offers: DataFrame, product: str = "product_id", supp
 
 
 def rank_internal(internal: DataFrame, product: str = "product_id", supplier: str = "supplier_id") -> DataFrame:
-    """Running rank of a product's alternative offers: one row per (product, supplier)."""
-    w = Window.partitionBy(product).orderBy(*priority_first_order(supplier))
-    return internal.withColumn("rank", F.row_number().over(w))
+    """Running rank of a product's alternative offers, from a distributed order: a product may hold most of the offers."""
+    return _ranked(internal, product, [*priority_first_order(supplier)])
 
 
 def rank_external(external: DataFrame, min_score: float = 0.70, product: str = "product_id", substitute: str = "substitute_id") -> DataFrame:
-    w = Window.partitionBy(product).orderBy(F.col("score").desc(), F.col(substitute))
-    return external.where(F.col("score") >= min_score).withColumn("rank", F.row_number().over(w))
+    """Rank of a product's substitutes by score, for any number of them."""
+    return _ranked(external.where(F.col("score") >= min_score), product, [F.col("score").desc(), F.col(substitute).asc()])
+
+
+def _ranked(rows: DataFrame, product: str, order: list[Column]) -> DataFrame:
+    return row_positions(rows, [product], order, "rank").withColumn("rank", F.col("rank").cast("int"))
 
 
 def running_stock_ledger(lines: DataFrame, inventory: DataFrame, product: str, day: str, order: list[str], qty: str, stock: str) -> DataFrame:

@@ -154,10 +154,10 @@ class Tables:
 
     @cached_property
     def substitutes_external(self) -> DataFrame:
-        """Three candidate substitutes per product with a score from the keys."""
+        """Three candidate substitutes per product with a score from the keys, written once: every reader would count the parts again."""
         n = self.part.agg(F.count(F.lit(1)).alias("n"))
         step = F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))
-        return (
+        return written(
             self.part.select(F.col("p_partkey").alias("product_id"), n.scalar().alias("n"), step.alias("k"))
             .select(
                 "product_id",

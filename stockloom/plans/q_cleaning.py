@@ -325,13 +325,8 @@ def _(t):
     doubles="qty_sum qty_mean qty_max qty_first",
 )
 def _(t):
-    keys, order = ["product_id", "date"], ["order_id", "line_no", "supplier_id", "qty"]
-    out = None
-    for how in ("sum", "mean", "max", "first"):
-        others = ["supplier_id"] if how == "first" else []
-        one = C.resolve_duplicates(t.sales, keys, "qty", how, order, others).withColumnRenamed("qty", f"qty_{how}")
-        out = one if out is None else out.join(one, keys)
-    return out
+    order = ["order_id", "line_no", "supplier_id", "qty"]
+    return C.resolve_duplicates(t.sales, ["product_id", "date"], "qty", ["sum", "mean", "max", "first"], order, ["supplier_id"])
 
 
 @query("top_products_by_units", """SELECT product_id, sum(qty) AS units FROM sales GROUP BY product_id

@@ -202,21 +202,21 @@ _SHIFT_SQL = f"""SELECT year, event, shift, start, "end", mean_event, base, expe
 
 @query(
     "event_uplift_local_base",
-    "SELECT * EXCLUDE (shift) FROM (" + _SHIFT_SQL.format(shifts="[0]") + ") WHERE year BETWEEN 1996 AND 2000",
+    "SELECT * EXCLUDE (shift) FROM (" + _SHIFT_SQL.format(shifts="[0]") + ")",
     ctes="daily_total event_windows",
     doubles="mean_event base uplift",
 )
 def _(t):
-    return E.event_uplift_local_base(t.daily_total, t.event_windows).where("year between 1996 and 2000")
+    return E.event_uplift_local_base(t.daily_total, t.event_windows)
 
 
 _BEST = f"""SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY year, event ORDER BY CASE WHEN expected = 'pico' THEN -uplift WHEN expected = 'valle' THEN uplift ELSE -abs(uplift) END, shift) AS rn
-   FROM ({_SHIFT_SQL.format(shifts="[-3,-2,-1,0,1,2,3]")}) WHERE uplift IS NOT NULL) WHERE rn = 1 AND year BETWEEN 1996 AND 2000"""
+   FROM ({_SHIFT_SQL.format(shifts="[-3,-2,-1,0,1,2,3]")}) WHERE uplift IS NOT NULL) WHERE rn = 1"""
 
 
 @query("best_event_shift", _BEST, ctes="daily_total event_windows", doubles="mean_event base uplift")
 def _(t):
-    return E.best_event_shift(t.daily_total, t.event_windows).where("year between 1996 and 2000")
+    return E.best_event_shift(t.daily_total, t.event_windows)
 
 
 @query(

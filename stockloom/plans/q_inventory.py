@@ -18,10 +18,10 @@ STAMP = "20250101_000000"
 
 
 def stock_now(t):
-    return t.inventory.where("stock > 60")
+    return t.inventory
 
 
-CTES["stock_now"] = ("inventory", "SELECT * FROM inventory WHERE stock > 60")
+CTES["stock_now"] = ("inventory", "SELECT * FROM inventory")
 CTES["after_orders"] = (
     "stock_now sales",
     "SELECT i.*, stock - coalesce(CAST(s AS BIGINT), 0) AS raw FROM stock_now i LEFT JOIN (SELECT product_id, sum(qty) AS s FROM sales GROUP BY product_id) USING (product_id)",
@@ -182,8 +182,8 @@ def _(t):
 
 CTES["lead_lookup"] = (
     "inventory pref_stock",
-    """SELECT i.product_id, i.supplier, i.stock, CAST(coalesce(p.lt, s.lt, 7) AS INTEGER) AS lead_time FROM inventory i LEFT JOIN (SELECT product_id, lead_time AS lt FROM pref_stock WHERE lead_time < 9) p USING (product_id)
-       LEFT JOIN (SELECT 'S' || supplier_id AS supplier, min(lead_time) AS lt FROM pref_stock WHERE supplier_id < 6 GROUP BY 1) s ON s.supplier = i.supplier""",
+    """SELECT i.product_id, i.supplier, i.stock, CAST(coalesce(p.lt, s.lt, 7) AS INTEGER) AS lead_time FROM inventory i LEFT JOIN (SELECT product_id, lead_time AS lt FROM pref_stock) p USING (product_id)
+       LEFT JOIN (SELECT 'S' || supplier_id AS supplier, min(lead_time) AS lt FROM pref_stock GROUP BY 1) s ON s.supplier = i.supplier""",
 )
 
 
@@ -191,7 +191,7 @@ def lead_lookup(t):
     pref = W.preferred_supplier_stock_first(t.offers)
     name = F.concat(F.lit("S"), F.col("supplier_id").cast("string")).alias("supplier")
     items = t.inventory.select("product_id", "supplier", "stock")
-    return I.lead_time_lookup(items, pref.where("lead_time < 9"), pref.where("supplier_id < 6").select(name, "lead_time"))
+    return I.lead_time_lookup(items, pref, pref.select(name, "lead_time"))
 
 
 @query("lead_time_lookup", "SELECT * FROM lead_lookup", ctes="lead_lookup")
@@ -237,14 +237,14 @@ CTES["pref_sub"] = ("pref_stock", "SELECT * FROM pref_stock WHERE lead_time < 14
 
 @query(
     "supplier_qc_report",
-    """SELECT 'WARN' AS kind, product_id, 'Producto sin proveedor en supplier_catalog' AS detail FROM catalog WHERE product_id NOT IN (SELECT product_id FROM offers WHERE availability > 20)
-       UNION ALL SELECT 'INFO', product_id, count(DISTINCT supplier_id) || ' proveedores (se genera ranking interno)' FROM offers WHERE availability > 20 GROUP BY product_id HAVING count(DISTINCT supplier_id) > 1
-       UNION ALL SELECT 'WARN', product_id, 'Multiproveedor sin substitutes_internal (revisar datos)' FROM offers WHERE availability > 20 GROUP BY product_id HAVING count(DISTINCT supplier_id) > 1 AND product_id NOT IN (SELECT product_id FROM offers WHERE availability > 70)
+    """SELECT 'WARN' AS kind, product_id, 'Producto sin proveedor en supplier_catalog' AS detail FROM catalog WHERE product_id NOT IN (SELECT product_id FROM offers)
+       UNION ALL SELECT 'INFO', product_id, count(DISTINCT supplier_id) || ' proveedores (se genera ranking interno)' FROM offers GROUP BY product_id HAVING count(DISTINCT supplier_id) > 1
+       UNION ALL SELECT 'WARN', product_id, 'Multiproveedor sin substitutes_internal (revisar datos)' FROM offers GROUP BY product_id HAVING count(DISTINCT supplier_id) > 1 AND product_id NOT IN (SELECT product_id FROM offers WHERE availability > 70)
        UNION ALL SELECT 'WARN', product_id, 'Sin proveedor preferente asignado' FROM catalog WHERE product_id NOT IN (SELECT product_id FROM pref_sub)""",
     ctes="catalog offers pref_sub",
 )
 def _(t):
-    o = t.offers.where("availability > 20")
+    o = t.offers
     pref = W.preferred_supplier_stock_first(t.offers).where("lead_time < 14")
     return I.supplier_qc_report(t.catalog, o, pref, t.offers.where("availability > 70"))
 
@@ -264,12 +264,12 @@ def _(t):
 @query(
     "base_from_preferred",
     """SELECT CAST(product_id AS VARCHAR) AS product_id, CAST(supplier_id AS VARCHAR) AS supplier_id, price, availability, lead_time, CASE WHEN supplier_id = ps THEN 1 ELSE priority END AS priority,
-       CASE WHEN lead_time <= 4 THEN '2-4' WHEN lead_time <= 7 THEN '5-7' ELSE '10-15' END AS lead_time_bucket FROM (SELECT o.*, p.supplier_id AS ps FROM offers o JOIN pref_stock p USING (product_id)) WHERE supplier_id = ps OR availability > 30""",
+       CASE WHEN lead_time <= 4 THEN '2-4' WHEN lead_time <= 7 THEN '5-7' ELSE '10-15' END AS lead_time_bucket FROM (SELECT o.*, p.supplier_id AS ps FROM offers o JOIN pref_stock p USING (product_id))""",
     ctes="offers pref_stock",
     doubles="price availability",
 )
 def _(t):
-    return I.base_from_preferred(W.preferred_supplier_stock_first(t.offers), t.offers.where("availability > 30"))
+    return I.base_from_preferred(W.preferred_supplier_stock_first(t.offers), t.offers)
 
 
 # ---- views ---------------------------------------------------------------------------------------

@@ -168,12 +168,12 @@ def _(t):
     "price_map_coalesce",
     """SELECT coalesce(c.product_id, p.product_id) AS product_id, coalesce(p.price, c.price) AS price
        FROM (SELECT product_id, avg(price) AS price FROM catalog GROUP BY product_id) c FULL JOIN
-       (SELECT * FROM pref_stock WHERE lead_time < 8) p ON c.product_id = p.product_id""",
+       pref_stock p ON c.product_id = p.product_id""",
     ctes="catalog pref_stock",
     doubles="price",
 )
 def _(t):
-    pref = W.preferred_supplier_stock_first(t.offers).where("lead_time < 8")
+    pref = W.preferred_supplier_stock_first(t.offers)
     return J.price_map_coalesce(pref, t.catalog, "product_id")
 
 
@@ -276,13 +276,13 @@ def _(t):
        q.price - p.price AS delta_price, q.lead_time - p.lead_time AS delta_lead_time,
        coalesce(CAST(i.stock AS DOUBLE), q.availability) - p.availability AS delta_availability
        FROM substitutes_external s LEFT JOIN catalog c ON c.product_id = s.substitute_id LEFT JOIN pref_stock q ON q.product_id = s.substitute_id
-       LEFT JOIN (SELECT * FROM inventory WHERE stock > 100) i ON i.product_id = s.substitute_id LEFT JOIN pref_stock p ON p.product_id = s.product_id""",
+       LEFT JOIN inventory i ON i.product_id = s.substitute_id LEFT JOIN pref_stock p ON p.product_id = s.product_id""",
     ctes="substitutes_external catalog pref_stock inventory",
     doubles="score sub_price sub_availability delta_price delta_availability",
 )
 def _(t):
     pref = W.preferred_supplier_stock_first(t.offers)
-    return J.enrich_external_substitutes(t.substitutes_external, t.catalog, pref, t.inventory.where("stock > 100"))
+    return J.enrich_external_substitutes(t.substitutes_external, t.catalog, pref, t.inventory)
 
 
 @query(
@@ -301,11 +301,11 @@ def _(t):
 @query(
     "catalog_enrichment_join",
     """SELECT count(*) AS rows, count(*) FILTER (category IS NULL) AS without_category, count(*) FILTER (status IS NULL) AS without_status,
-       count(DISTINCT product_id) AS products FROM demand d LEFT JOIN (SELECT product_id AS pid, category, status FROM catalog WHERE pack_size < 48) c ON d.product_id = c.pid""",
+       count(DISTINCT product_id) AS products FROM demand d LEFT JOIN (SELECT product_id AS pid, category, status FROM catalog) c ON d.product_id = c.pid""",
     ctes="demand catalog",
 )
 def _(t):
-    return J.enrichment_summary(J.catalog_enrichment_join(t.demand, t.catalog.where("pack_size < 48"), "product_id"), "product_id")
+    return J.enrichment_summary(J.catalog_enrichment_join(t.demand, t.catalog, "product_id"), "product_id")
 
 
 # ---- aggregations --------------------------------------------------------------------------------
@@ -839,13 +839,13 @@ def _(t):
 CTES["ledger_run"] = (
     "order_lines inventory",
     """SELECT o.*, stock AS stock_start, stock - CAST(sum(qty) OVER (PARTITION BY o.product_id ORDER BY order_date, order_id, line_no, supplier_id, qty ROWS UNBOUNDED PRECEDING) AS BIGINT) AS stock_after
-       FROM order_lines o JOIN (SELECT * FROM inventory WHERE stock > 60) i USING (product_id)""",
+       FROM order_lines o JOIN inventory i USING (product_id)""",
 )
 
 
 def ledger_run(t):
     order = ["order_date", "order_id", "line_no", "supplier_id", "qty"]
-    return W.running_stock_ledger(t.order_lines, t.inventory.where("stock > 60"), "product_id", "order_date", order, "qty", "stock")
+    return W.running_stock_ledger(t.order_lines, t.inventory, "product_id", "order_date", order, "qty", "stock")
 
 
 @query(

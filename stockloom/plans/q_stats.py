@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 from stockloom.operators import outliers as O
@@ -9,7 +11,28 @@ from stockloom.operators import stats as S
 from stockloom.plans.bindings import CTES
 from stockloom.plans.registry import query
 
-YEARS = [1998, 1999, 2000]
+YEARS = list(range(1995, 2002))
+
+
+def _beta_sql(f: str, d1: str, d2: str) -> str:
+    """P(F > f) by Simpson's rule over the beta integral in its sine form."""
+    return f"""(SELECT sum((CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp((({d2}) - 1) * ln(greatest(sin(i * hi / 4000), 1e-300))
+        + (({d1}) - 1) * ln(greatest(cos(i * hi / 4000), 1e-300)) + lgamma((({d1}) + ({d2})) / 2.0) - lgamma(({d1}) / 2.0) - lgamma(({d2}) / 2.0))) * 2 * any_value(hi) / 12000
+        FROM (SELECT i, asin(sqrt(({d2}) / (({d2}) + ({d1}) * ({f})))) AS hi FROM range(4001) r(i)))"""
+
+
+def _normal_sql(z: str) -> str:
+    """Two-sided tail of the normal distribution by Simpson's rule."""
+    return f"(SELECT sum((CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-pow(abs({z}) + i / 400.0, 2) / 2)) * 2 / sqrt(2 * pi()) / 1200 FROM range(4001) r(i))"
+
+
+def _chi2_sql(x: str) -> str:
+    """The chi-square tail with six degrees of freedom, those of seven years."""
+    return f"exp(-({x}) / 2) * (1 + ({x}) / 2 + pow(({x}) / 2, 2) / 2)"
+
+
+def _p_of_r(r: str, sql: str) -> str:
+    return f"SELECT *, {_beta_sql(f'{r} * {r} * (n - 2) / (1 - {r} * {r})', '1', 'n - 2')} AS p FROM ({sql})"
 
 CTES["mad_flags"] = (
     "demand",
@@ -62,20 +85,19 @@ def _(t):
     return O.iqr_outliers(t.demand, "product_id", "qty")
 
 
-CTES["pmeans"] = ("demand", "SELECT product_id, CAST(year(date) AS INTEGER) AS year, avg(qty) AS x FROM demand WHERE year(date) IN (1998, 1999, 2000) GROUP BY product_id, year(date)")
+CTES["pmeans"] = ("demand", "SELECT product_id, CAST(year(date) AS INTEGER) AS year, avg(qty) AS x FROM demand WHERE year(date) BETWEEN 1995 AND 2001 GROUP BY product_id, year(date)")
 CTES["pwide"] = (
     "pmeans",
-    """SELECT * FROM (SELECT product_id, max(x) FILTER (year = 1998) AS y1998, max(x) FILTER (year = 1999) AS y1999, max(x) FILTER (year = 2000) AS y2000 FROM pmeans GROUP BY product_id)
-       WHERE y1998 IS NOT NULL AND y1999 IS NOT NULL AND y2000 IS NOT NULL""",
+    f"""SELECT * FROM (SELECT product_id, {", ".join(f"max(x) FILTER (year = {y}) AS y{y}" for y in YEARS)} FROM pmeans GROUP BY product_id)
+       WHERE {" AND ".join(f"y{y} IS NOT NULL" for y in YEARS)}""",
 )
 CTES["ppairs"] = (
     "pwide",
-    """SELECT '1998-1999' AS pair, product_id, y1998 AS a, y1999 AS b FROM pwide UNION ALL SELECT '1998-2000', product_id, y1998, y2000 FROM pwide
-       UNION ALL SELECT '1999-2000', product_id, y1999, y2000 FROM pwide""",
+    " UNION ALL ".join(f"SELECT '{a}-{b}' AS pair, product_id, y{a} AS a, y{b} AS b FROM pwide" for a, b in combinations(YEARS, 2)),
 )
 CTES["plong"] = (
     "pwide",
-    "SELECT product_id, 1998 AS year, y1998 AS x FROM pwide UNION ALL SELECT product_id, 1999, y1999 FROM pwide UNION ALL SELECT product_id, 2000, y2000 FROM pwide",
+    " UNION ALL ".join(f"SELECT product_id, {y} AS year, y{y} AS x FROM pwide" for y in YEARS),
 )
 _RANK = "rank() OVER ({0} ORDER BY {1}) + (count(*) OVER (PARTITION BY {2}{1}) - 1) / 2.0::DOUBLE"
 
@@ -109,11 +131,11 @@ def _(t):
 
 @query(
     "pearson_by_year_pair",
-    """SELECT 'product' AS level, pair, corr(a, b) AS pearson, count(*) AS n FROM ppairs GROUP BY pair UNION ALL
+    _p_of_r("pearson", """SELECT 'product' AS level, pair, corr(a, b) AS pearson, count(*) AS n FROM ppairs GROUP BY pair UNION ALL
        SELECT 'day', x.y || '-' || z.y, corr(x.v, z.v), count(*) FROM (SELECT year(date) AS y, strftime(date, '%m-%d') AS k, total AS v FROM daily_total) x
-       JOIN (SELECT year(date) AS y, strftime(date, '%m-%d') AS k, total AS v FROM daily_total) z ON x.k = z.k AND x.y < z.y WHERE x.y >= 1998 AND z.y <= 2000 AND x.k <> '02-29' GROUP BY x.y, z.y""",
+       JOIN (SELECT year(date) AS y, strftime(date, '%m-%d') AS k, total AS v FROM daily_total) z ON x.k = z.k AND x.y < z.y WHERE x.k <> '02-29' GROUP BY x.y, z.y"""),
     ctes="ppairs daily_total",
-    doubles="pearson",
+    doubles="pearson p",
 )
 def _(t):
     a = S.pearson_by_year_pair(pairs(t)).withColumn("level", F.lit("product"))
@@ -123,20 +145,20 @@ def _(t):
 
 @query(
     "spearman_by_year_pair",
-    f"""SELECT pair, corr(ra, rb) AS spearman, count(*) AS n FROM (SELECT pair, {_RANK.format("PARTITION BY pair", "a", "pair, ")} AS ra, {_RANK.format("PARTITION BY pair", "b", "pair, ")} AS rb FROM ppairs) GROUP BY pair""",
+    _p_of_r("spearman", f"""SELECT pair, corr(ra, rb) AS spearman, count(*) AS n FROM (SELECT pair, {_RANK.format("PARTITION BY pair", "a", "pair, ")} AS ra, {_RANK.format("PARTITION BY pair", "b", "pair, ")} AS rb FROM ppairs) GROUP BY pair"""),
     ctes="ppairs",
-    doubles="spearman",
+    doubles="spearman p",
 )
 def _(t):
     return S.spearman_by_year_pair(pairs(t))
 
 
-_F = """SELECT CAST(k - 1 AS BIGINT) AS df_between, CAST(n - k AS BIGINT) AS df_within, (ssb / (k - 1)) / (ssw / (n - k)) AS f FROM (
+_F = "SELECT *, " + _beta_sql("f", "df_between", "df_within") + """ AS p FROM (SELECT CAST(k - 1 AS BIGINT) AS df_between, CAST(n - k AS BIGINT) AS df_within, (ssb / (k - 1)) / (ssw / (n - k)) AS f FROM (
    SELECT count(*) AS k, sum(gn)::BIGINT AS n, sum(gn * pow(gm - grand, 2)) AS ssb, sum(gss) AS ssw FROM (
-     SELECT year, count(*) AS gn, avg(x) AS gm, var_pop(x) * count(*) AS gss, (SELECT avg(x) FROM {0}) AS grand FROM {0} GROUP BY year))"""
+     SELECT year, count(*) AS gn, avg(x) AS gm, var_pop(x) * count(*) AS gss, (SELECT avg(x) FROM {0}) AS grand FROM {0} GROUP BY year)))"""
 
 
-@query("anova_oneway", _F.format("plong"), ctes="plong", doubles="f")
+@query("anova_oneway", _F.format("plong"), ctes="plong", doubles="f p")
 def _(t):
     return S.anova_oneway(long(t), "year", "x")
 
@@ -144,14 +166,14 @@ def _(t):
 CTES["pdev"] = ("plong", "SELECT year, abs(x - median(x) OVER (PARTITION BY year)) AS x FROM plong")
 
 
-@query("levene_median", _F.format("pdev"), ctes="pdev", doubles="f")
+@query("levene_median", _F.format("pdev"), ctes="pdev", doubles="f p")
 def _(t):
     return S.levene_median(long(t), "year", "x")
 
 
 @query(
     "kruskal_wallis",
-    f"""SELECT h, 3::BIGINT AS k, exp(-h / 2) AS p FROM (SELECT (12 / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - (SELECT sum(c * c * c - c) FROM (SELECT count(*)::DOUBLE AS c FROM plong GROUP BY x)) / (n * n * n - n)) AS h FROM (
+    f"""SELECT h, 7::BIGINT AS k, {_chi2_sql("h")} AS p FROM (SELECT (12 / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - (SELECT sum(c * c * c - c) FROM (SELECT count(*)::DOUBLE AS c FROM plong GROUP BY x)) / (n * n * n - n)) AS h FROM (
         SELECT sum(rs * rs / gn) AS q, sum(gn)::DOUBLE AS n FROM (SELECT year, sum(r) AS rs, count(*) AS gn FROM (SELECT year, {_RANK.format("", "x", "")} AS r FROM plong) GROUP BY year)))""",
     ctes="plong",
     doubles="h p",
@@ -162,7 +184,7 @@ def _(t):
 
 @query(
     "friedman",
-    f"""SELECT chi AS chi2, n, exp(-chi / 2) AS p FROM (SELECT (12.0 / (n * 12) * q - 12.0 * n) / (1 - ties / (n * 24)) AS chi, n FROM (
+    f"""SELECT chi AS chi2, n, {_chi2_sql("chi")} AS p FROM (SELECT (12.0 / (n * 56) * q - 24.0 * n) / (1 - ties / (n * 336)) AS chi, n FROM (
         SELECT sum(rs * rs) AS q, (SELECT count(*) FROM pwide) AS n, (SELECT coalesce(sum(c * c * c - c), 0)::DOUBLE FROM (SELECT count(*) AS c FROM plong GROUP BY product_id, x)) AS ties
         FROM (SELECT year, sum(r) AS rs FROM (SELECT year, {_RANK.format("PARTITION BY product_id", "x", "product_id, ")} AS r FROM plong) GROUP BY year)))""",
     ctes="plong",
@@ -174,11 +196,11 @@ def _(t):
 
 @query(
     "wilcoxon_bonferroni",
-    f"""SELECT pair, n, w, (w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48) AS z FROM (
+    f"""SELECT *, {_normal_sql("z")} AS p, least(1, {_normal_sql("z")} * 21) AS p_bonferroni FROM (SELECT pair, n, w, (w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48) AS z FROM (
         SELECT pair, count(*) AS n, least(sum(CASE WHEN d > 0 THEN r ELSE 0 END), sum(CASE WHEN d < 0 THEN r ELSE 0 END)) AS w, sum(c * c - 1)::DOUBLE AS ties FROM (
-          SELECT pair, d, {_RANK.format("PARTITION BY pair", "abs(d)", "pair, ")} AS r, count(*) OVER (PARTITION BY pair, abs(d)) AS c FROM (SELECT pair, a - b AS d FROM ppairs) WHERE d <> 0) GROUP BY pair)""",
+          SELECT pair, d, {_RANK.format("PARTITION BY pair", "abs(d)", "pair, ")} AS r, count(*) OVER (PARTITION BY pair, abs(d)) AS c FROM (SELECT pair, a - b AS d FROM ppairs) WHERE d <> 0) GROUP BY pair))""",
     ctes="ppairs",
-    doubles="w z",
+    doubles="w z p p_bonferroni",
 )
 def _(t):
     return S.wilcoxon_pairs(pairs(t))

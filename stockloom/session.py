@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -54,4 +55,38 @@ def written(df):
     """
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    _tables.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
+    return out
+
+
+_tables: dict[str, list[str]] = {}
+
+
+def discard(spark: SparkSession, *frames) -> None:
+    """Deletes the tables behind frames that :func:`written` returned and nothing reads any more, as a loop's last round."""
+    own = _tables.get(spark.sparkContext.applicationId, [])
+    for df in frames:
+        path = getattr(df, "_written_at", None)
+        if path in own:
+            own.remove(path)
+            _delete(spark, path)
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession):
+    """Owns all tables written inside: they are deleted at the end, when the caller has stored its result."""
+    own = _tables.setdefault(spark.sparkContext.applicationId, [])
+    before = set(own)
+    try:
+        yield
+    finally:
+        for path in [p for p in own if p not in before]:
+            own.remove(path)
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

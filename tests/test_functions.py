@@ -77,3 +77,17 @@ def test_formatting(spark):
     assert [r[0] for r in df.select(T.format_units_ceil("x")).collect()] == ["1.234.568", "3"]
     assert values(spark, ["Prov. S.L.", None], T.order_id("x", "s")) == ["PO_ProvSL_s", "PO_NA_s"]
     assert [c for c in T.normalize_headers(spark.createDataFrame([(1, 2)], ["﻿ID Producto", "Précio"]), {"product_id": ["id_producto"]}).columns] == ["product_id", "precio"]
+
+
+def test_ids_of_any_length_and_letters(spark):
+    got = values(spark, ["001234567890123456789", "12D", "7f", "-005.00", "1e3", "000"], T.normalize_product_id("x"))
+    assert got == ["1234567890123456789", "12D", "7f", "-5", "1e3", "0"]
+
+
+def test_headers_that_clash_are_an_error(spark):
+    import pytest
+
+    df = spark.createDataFrame([(1, 2)], ["Precio", "price"])
+    with pytest.raises(ValueError):
+        T.normalize_headers(df, {"precio": ["price"]})
+    assert T.normalize_headers(spark.createDataFrame([(1,)], ["Id/Producto-Num.,x"])).columns == ["id_producto_num_x"]

@@ -249,3 +249,75 @@ def test_fuzzy_matches(spark):
     b = spark.createDataFrame([("hidratacion",), ("proteinas",), ("cafe",)], "t string")
     got = {r["c"]: (r["suggested"], r["use"]) for r in S.fuzzy_category_match(a, b, "c", "t", chunk=1).collect()}
     assert got["proteina"] == ("proteinas", "SI") and got["zzz"][1] == "REVISAR" and "hidratacion" not in got
+
+
+def test_subset_share_is_counted_among_unflagged(spark):
+    from stockloom.operators.topk import representative_subset
+
+    rows = [(0, i, float(100 - i), 0.1, int(i < 5)) for i in range(10)]
+    df = spark.createDataFrame(rows, "cluster int, product_id long, demand double, cv double, is_outlier int")
+    got = sorted(r.product_id for r in representative_subset(df, "cluster", "product_id", "demand", "cv", "is_outlier", [0], 0.6).collect())
+    assert got == [0, 1, 2, 3, 4, 5, 6, 7]
+
+
+def test_minor_categories_leave_rows_without_one_alone(spark):
+    from stockloom.operators.aggregates import merge_minor_categories
+
+    df = spark.createDataFrame([("a", 1, 60.0), ("b", 2, 40.0), (None, 3, 900.0)], "c string, p long, q double")
+    assert sorted(map(str, (r.c for r in merge_minor_categories(df, "c", "p", "q", 0.3, 1).collect()))) == ["None", "a", "b"]
+
+
+def test_missing_quantity_is_not_a_sale_of_zero(spark):
+    from stockloom.operators.cleaning import filter_year_clip_negative
+
+    df = spark.sql("SELECT 1 AS p, DATE '2020-01-01' AS d, q FROM VALUES (CAST(NULL AS DOUBLE)), (-2.0D), (3.0D) AS t(q)")
+    assert sorted(r.q for r in filter_year_clip_negative(df, "p", "d", "q", 2020).collect()) == [0.0, 3.0]
+
+
+def test_safety_stock_rounds_the_daily_mean_up(spark):
+    from stockloom.operators.inventory import safety_stock_dynamic
+
+    items = spark.createDataFrame([(1, 2)], "product_id long, lead_time int")
+    stats = spark.createDataFrame([(1, 1.2, 0.5, *[1.0] * 7)], "product_id long, mu double, sigma double, " + ", ".join(f"f{d} double" for d in range(7)))
+    up = safety_stock_dynamic(items, stats, "2024-01-01").first()
+    near = safety_stock_dynamic(items, stats, "2024-01-01", rounding="nearest").first()
+    assert (up.mu_day, up.mu_lead, up.ss, near.ss) == (2.0, 4.0, 4, 3)
+
+
+def test_one_item_and_day_with_most_offers_is_ranked(spark):
+    from stockloom.operators.windows import rank_external
+
+    df = spark.range(500).selectExpr("CAST(id % 3 = 0 AS BIGINT) * 7 AS product_id", "id AS substitute_id", "0.7 + id / 5000.0D AS score")
+    got = rank_external(df).collect()
+    for p in (0, 7):
+        own = sorted((r for r in got if r.product_id == p), key=lambda r: r.rank)
+        assert [r.rank for r in own] == list(range(1, len(own) + 1)) and [r.score for r in own] == sorted((r.score for r in own), reverse=True)
+
+
+def test_p_values():
+    from stockloom.operators.stats import chi2_survival, correlation_p, f_survival, normal_two_sided
+
+    assert chi2_survival(5.991465, 2) == pytest.approx(0.05, abs=1e-6) and chi2_survival(11.0705, 5) == pytest.approx(0.05, abs=1e-5)
+    assert chi2_survival(1.145476, 5) == pytest.approx(0.95, abs=1e-5) and chi2_survival(300.0, 3) < 1e-60
+    assert f_survival(4.0, 2, 30) == pytest.approx(0.028834, abs=1e-4) and normal_two_sided(1.959964) == pytest.approx(0.05, abs=1e-6)
+    assert correlation_p(0.5, 20) == pytest.approx(0.02478, abs=1e-4) and correlation_p(1.0, 9) == 0.0
+
+
+def test_temporary_tables_are_deleted(spark):
+    import os
+
+    from stockloom.session import discard, temporary_tables, written
+
+    with temporary_tables(spark):
+        a, b = written(spark.range(3)), written(spark.range(4))
+        discard(spark, a)
+        assert not os.path.exists(a._written_at.removeprefix("file:")) and b.count() == 4
+    assert not os.path.exists(b._written_at.removeprefix("file:"))
+
+
+def test_long_chains_of_cells_get_one_label(spark):
+    from stockloom.operators.clustering import connected_labels
+
+    nodes = spark.range(3000).withColumnRenamed("id", "node")
+    links = spark.range(2999).selectExpr("id AS _a", "id + 1 AS _b")
+    assert {r.label for r in connected_labels(nodes, links).select("label").distinct().collect()} == {0}
