@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from stockloom.operators import cleaning as C
@@ -9,6 +11,7 @@ from stockloom.operators import topk as K
 from stockloom.operators import windows as W
 from stockloom.plans.bindings import CTES
 from stockloom.plans.registry import query
+from stockloom.session import shared_folder
 from stockloom.sources import io
 
 # Raw demand with gaps and errors that the given tables do not have, made by fixed rules.
@@ -47,8 +50,7 @@ def _(t):
     """SELECT c.cluster_id, s.split, coalesce(n, 0) AS rows, date_min, date_max
        FROM (SELECT DISTINCT cluster_id FROM demand_clustered) c CROSS JOIN (SELECT unnest(['train','val','test']) AS split) s
        LEFT JOIN (SELECT cluster_id, CASE WHEN year(date) <= 1999 THEN 'train' WHEN year(date) = 2000 THEN 'val' ELSE 'test' END AS split,
-             count(*) AS n, min(date) AS date_min, max(date) AS date_max FROM demand_clustered
-             WHERE NOT (cluster_id = 3 AND year(date) > 2000) GROUP BY ALL) d
+             count(*) AS n, min(date) AS date_min, max(date) AS date_max FROM demand_clustered GROUP BY ALL) d
        ON c.cluster_id = d.cluster_id AND s.split = d.split""",
     ctes="demand_clustered",
 )
@@ -56,8 +58,10 @@ def _(t):
     from stockloom.operators.forecast import temporal_split
 
     df = temporal_split(t.demand_clustered, "date", 1999)
-    df = df.where("not (cluster_id = 3 and split = 'test')")
-    return io.split_catalogue(df, "cluster_id", "split", "date")
+    path = f"{shared_folder(t.spark).rstrip('/')}/files/{uuid.uuid4().hex}"
+    io.export_partitioned_splits(df, path, "cluster_id", "split", "date")
+    back = t.spark.read.schema(df.schema).parquet(path)  # what was written, folder by folder
+    return io.split_catalogue(back, "cluster_id", "split", "date")
 
 
 @query(

@@ -90,26 +90,30 @@ def annual(t):
 
 @query(
     "seasonal_calendar_join",
-    "SELECT a.product_id, year, date, weight_norm, qty, qty * weight_norm AS qty_day FROM annual a JOIN season_cal USING (year) WHERE month = 11",
+    """SELECT a.product_id, year, month, count(*) AS days, sum(weight_norm) AS weight, any_value(qty) AS qty, sum(qty * weight_norm) AS qty_month
+       FROM annual a JOIN season_cal USING (year) GROUP BY a.product_id, year, month""",
     ctes="annual season_cal",
-    doubles="weight_norm qty qty_day",
-    digits=6,
+    doubles="weight qty qty_month",
 )
 def _(t):
-    return cal.seasonal_calendar_join(annual(t), season_cal(t).where("month = 11")).select(
-        "product_id", "year", "date", "weight_norm", "qty", "qty_day"
+    days = cal.seasonal_calendar_join(annual(t), season_cal(t))  # every day of every year, folded to months for the comparison
+    return days.groupBy("product_id", "year", F.month("date").alias("month")).agg(
+        F.count(F.lit(1)).alias("days"), F.sum("weight_norm").alias("weight"), F.max("qty").alias("qty"), F.sum("qty_day").alias("qty_month")
     )
 
 
 @query(
     "disaggregate_annual",
-    "SELECT a.product_id, a.year, date, qty * weight_norm AS qty_day FROM annual a JOIN season_cal USING (year) WHERE year = 2000",
+    """SELECT a.product_id, a.year, isodow(date) AS weekday, count(*) AS days, sum(qty * weight_norm) AS qty_weekday, max(qty * weight_norm) AS qty_top_day
+       FROM annual a JOIN season_cal USING (year) GROUP BY a.product_id, a.year, isodow(date)""",
     ctes="annual season_cal",
-    doubles="qty_day",
-    digits=6,
+    doubles="qty_weekday qty_top_day",
 )
 def _(t):
-    return cal.disaggregate_annual(annual(t).where("year = 2000"), season_cal(t), ["product_id", "year"])
+    days = cal.disaggregate_annual(annual(t), season_cal(t), ["product_id", "year"])  # all years, folded to weekdays for the comparison
+    return days.groupBy("product_id", "year", (F.weekday("date") + 1).cast("long").alias("weekday")).agg(
+        F.count(F.lit(1)).alias("days"), F.sum("qty_day").alias("qty_weekday"), F.max("qty_day").alias("qty_top_day")
+    )
 
 
 @query(

@@ -24,7 +24,7 @@ CTES["pref_priority"] = (
     "offers",
     f"SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY {PREF_PRIORITY}) AS rn FROM offers) WHERE rn = 1",
 )
-YEARS = [1996, 1997, 1998, 1999, 2000, 2001]
+YEARS = [1995, 1996, 1997, 1998, 1999, 2000, 2001]
 
 # ---- joins ---------------------------------------------------------------------------------------
 
@@ -70,12 +70,12 @@ def _(t):
 @query(
     "catalog_split_semi_anti",
     """SELECT CASE WHEN pack_size = 1 THEN NULL ELSE product_id END AS pid, name,
-       CASE WHEN pack_size = 1 THEN 'new' WHEN product_id IN (SELECT product_id FROM sales WHERE year(date) = 1999) THEN 'final' ELSE 'discarded' END AS part FROM catalog""",
+       CASE WHEN pack_size = 1 THEN 'new' WHEN product_id IN (SELECT product_id FROM sales WHERE flag = 'R') THEN 'final' ELSE 'discarded' END AS part FROM catalog""",
     ctes="catalog sales",
 )
 def _(t):
     c = t.catalog.select(F.when(F.col("pack_size") != 1, F.col("product_id")).alias("pid"), "name")
-    sold = t.sales.where(F.year("date") == 1999).select(F.col("product_id").alias("pid"))
+    sold = t.sales.where("flag = 'R'").select(F.col("product_id").alias("pid"))
     return J.catalog_split(c, sold, "pid")
 
 
@@ -107,12 +107,12 @@ def _(t):
 @query(
     "zero_fill_universe",
     """SELECT c.product_id, coalesce(q, 0.0) AS qty FROM catalog c LEFT JOIN (SELECT product_id, sum(qty) AS q FROM sales
-       WHERE year(date) = 1999 GROUP BY product_id) USING (product_id)""",
+       GROUP BY product_id) USING (product_id)""",
     ctes="catalog sales",
     doubles="qty",
 )
 def _(t):
-    return J.zero_fill_universe(t.catalog, t.sales.where(F.year("date") == 1999), "product_id", "qty")
+    return J.zero_fill_universe(t.catalog, t.sales, "product_id", "qty")
 
 
 @query(
@@ -335,20 +335,21 @@ def _(t):
     return A.product_features(t.demand, t.catalog.select("product_id", "price"))
 
 
-_FEAT_YEARS = [1998, 1999, 2000]
+_FEAT_YEARS = YEARS
+_GROWTH = {f"g_{b % 100:02d}_{a % 100:02d}": (a, b) for a, b in zip(_FEAT_YEARS, _FEAT_YEARS[1:])}
 _M = ", ".join(f"sum(q) FILTER (month(date) = {m}) / sum(q) AS m_{m:02d}" for m in range(1, 13))
 _W = ", ".join(f"sum(q) FILTER (isodow(date) = {d + 1}) / sum(q) AS dow_{d}" for d in range(7))
 _Y = ", ".join(f"sum(q) FILTER (year(date) = {y}) AS y{y}" for y in _FEAT_YEARS)
 _FEAT_COLS = (
-    [f"m_{m:02d}" for m in range(1, 13)] + [f"dow_{d}" for d in range(7)] + [f"y{y}" for y in _FEAT_YEARS] + ["g_99_98", "g_00_99", "cv_daily", "p95_over_med"]
+    [f"m_{m:02d}" for m in range(1, 13)] + [f"dow_{d}" for d in range(7)] + [f"y{y}" for y in _FEAT_YEARS] + [*_GROWTH, "cv_daily", "p95_over_med"]
 )
 
 
 @query(
     "category_features",
-    f"""SELECT *, y1999 / y1998 - 1 AS g_99_98, y2000 / y1999 - 1 AS g_00_99 FROM (SELECT category, {_M}, {_W}, {_Y},
+    f"""SELECT *, {", ".join(f"coalesce(y{b} / nullif(y{a}, 0) - 1, 0) AS {g}" for g, (a, b) in _GROWTH.items())} FROM (SELECT category, {_M}, {_W}, {_Y},
         stddev_samp(q) / avg(q) AS cv_daily, quantile_cont(q, 0.95) / median(q) AS p95_over_med
-        FROM (SELECT category, date, sum(qty) AS q FROM sales JOIN catalog USING (product_id) WHERE year(date) IN (1998, 1999, 2000) GROUP BY category, date)
+        FROM (SELECT category, date, sum(qty) AS q FROM sales JOIN catalog USING (product_id) GROUP BY category, date)
         GROUP BY category)""",
     ctes="sales catalog",
     doubles=" ".join(_FEAT_COLS),
@@ -557,16 +558,16 @@ def _(t):
 
 CTES["month_mean"] = (
     "daily_total",
-    "SELECT year(date) AS year, month(date) AS month, avg(total) AS m FROM daily_total WHERE year(date) IN (1998, 1999, 2000) GROUP BY ALL",
+    "SELECT year(date) AS year, month(date) AS month, avg(total) AS m FROM daily_total GROUP BY ALL",
 )
 CTES["month_wide"] = (
     "month_mean",
-    """SELECT CAST(month AS INTEGER) AS month, max(m) FILTER (year = 1998) AS y1998, max(m) FILTER (year = 1999) AS y1999, max(m) FILTER (year = 2000) AS y2000,
+    f"""SELECT CAST(month AS INTEGER) AS month, {", ".join(f"max(m) FILTER (year = {y}) AS y{y}" for y in _FEAT_YEARS)},
        stddev_samp(m) / avg(m) AS cv, stddev_samp(m) / avg(m) <= 0.15 AS stable FROM month_mean GROUP BY month""",
 )
 
 
-@query("monthly_mean_cv", "SELECT * FROM month_wide", ctes="month_wide", doubles="y1998 y1999 y2000 cv")
+@query("monthly_mean_cv", "SELECT * FROM month_wide", ctes="month_wide", doubles=" ".join(f"y{y}" for y in _FEAT_YEARS) + " cv")
 def _(t):
     return A.monthly_mean_cv(t.daily_total, "date", "total", _FEAT_YEARS)
 
@@ -585,7 +586,7 @@ def _(t):
     "align_by_mmdd",
     "SELECT strftime(date, '%m-%d') AS mmdd, " + ", ".join(f"sum(total) FILTER (year(date) = {y}) AS y{y}" for y in _FEAT_YEARS) + " FROM daily_total WHERE strftime(date, '%m-%d') <> '02-29' GROUP BY 1",
     ctes="daily_total",
-    doubles="y1998 y1999 y2000",
+    doubles=" ".join(f"y{y}" for y in _FEAT_YEARS),
 )
 def _(t):
     return A.align_by_mmdd(t.daily_total, "date", "total", _FEAT_YEARS)
@@ -884,11 +885,12 @@ def _(t):
 @query(
     "gaps_and_islands",
     """SELECT cluster_id, min(date) AS start, max(date) AS "end" FROM (SELECT *, date - CAST(row_number() OVER (PARTITION BY cluster_id ORDER BY date) AS INTEGER) AS k
-       FROM cluster_days WHERE qty > 40) GROUP BY cluster_id, k""",
+       FROM cluster_days WHERE qty > (SELECT quantile_cont(qty, 0.9) FROM cluster_days)) GROUP BY cluster_id, k""",
     ctes="cluster_days",
 )
 def _(t):
-    return cal.gaps_and_islands(t.cluster_days.where("qty > 40"), ["cluster_id"])
+    high = t.cluster_days.agg(F.percentile("qty", 0.9)).scalar()
+    return cal.gaps_and_islands(t.cluster_days.where(F.col("qty") > high), ["cluster_id"])
 
 
 @query(
@@ -956,7 +958,7 @@ def _(t):
 
 @query(
     "union_years",
-    "SELECT product_id, date, qty, 'demanda_' || year(date) AS source FROM demand WHERE year(date) BETWEEN 1996 AND 2001",
+    "SELECT product_id, date, qty, 'demanda_' || year(date) AS source FROM demand WHERE year(date) BETWEEN 1995 AND 2001",
     ctes="demand",
     doubles="qty",
 )
@@ -1028,11 +1030,11 @@ def _(t):
 
 @query(
     "subset_containment",
-    "SELECT DISTINCT product_id FROM sales WHERE date = DATE '1999-05-05' EXCEPT SELECT product_id FROM sales WHERE flag = 'R'",
+    "SELECT DISTINCT product_id FROM sales WHERE year(date) = 2001 EXCEPT SELECT product_id FROM sales WHERE year(date) = 1995",
     ctes="sales",
 )
 def _(t):
-    return U.subset_containment(t.sales.where("date = date'1999-05-05'"), t.sales.where("flag = 'R'"), "product_id")
+    return U.subset_containment(t.sales.where(F.year("date") == 2001), t.sales.where(F.year("date") == 1995), "product_id")
 
 
 @query(
