@@ -61,6 +61,7 @@ def remove_negatives(df: DataFrame, col: str, how: str = "clip0") -> DataFrame:
 def invalid_rows_with_reason(df: DataFrame, product: str, date: str, qty: str, first: str, last: str) -> DataFrame:
     """Rows that break a rule, with their reasons in fixed order."""
     d, q = F.col(date), F.col(qty)
+    # Texts of the reasons.
     reasons = [
         (d.isNull(), "Date NaN; "),
         (q.isNull(), "Demand_Day NaN; "),

@@ -29,18 +29,24 @@ def order_alerts(lines: DataFrame, inventory: DataFrame, ledger: DataFrame, subs
     """WARN per line of an unknown item, CRIT per line that leaves no stock, CRIT per broken item without a substitute.
 
     ``ledger`` holds the running stock of the lines. An item is broken when its last stock is not above 0,
-    which is its starting stock minus everything sold, so no ordering is needed for it.
+    which is its starting stock minus everything sold, so no ordering is needed for it. The alert of a line
+    that leaves no stock names the item's ``supplier`` as ``supplier_id``; other alerts name none.
     """
     item = F.col("product_id").cast("string")
 
     def alert(df: DataFrame, severity: str, before: str, after: str = "") -> DataFrame:
         message = F.concat(F.lit(before), item, F.lit(after))
-        return df.select(F.lit(stamp).alias("timestamp"), F.lit(severity).alias("severity"), message.alias("message"), "product_id")
+        supplier = F.col("_supplier") if "_supplier" in df.columns else F.lit(None)
+        return df.select(
+            F.lit(stamp).alias("timestamp"), F.lit(severity).alias("severity"), message.alias("message"), "product_id", supplier.cast("string").alias("supplier_id")
+        )
 
     unknown = lines.join(inventory.select("product_id"), "product_id", "left_anti")
-    hit = ledger.where("stock_after <= 0")
+    supplier = F.col("supplier") if "supplier" in inventory.columns else F.lit(None).cast("string")
+    hit = ledger.where("stock_after <= 0").select("product_id").join(inventory.select("product_id", supplier.alias("_supplier")), "product_id", "left")
     broken = apply_customer_orders(inventory, lines, clip_zero=False).where("stock_new <= 0").select("product_id")
     alone = broken.join(substitutes.select("product_id").distinct(), "product_id", "left_anti")
+    # Texts of the alerts.
     return (
         alert(unknown, "WARN", "Pedido recibido para item desconocido ")
         .unionByName(alert(hit, "CRIT", "Rotura detectada tras pedido (item ", ")"))
@@ -243,6 +249,7 @@ def supplier_qc_report(catalog: DataFrame, offers: DataFrame, preferred: DataFra
     none = items.join(n, "product_id", "left_anti")
     lonely = several.join(alternatives.select("product_id").distinct(), "product_id", "left_anti")
     unset = items.join(preferred.select("product_id").distinct(), "product_id", "left_anti")
+    # Texts of the report.
     return (
         rows(none, "WARN", F.lit("Producto sin proveedor en supplier_catalog"))
         .unionByName(rows(several, "INFO", F.concat(F.col("_n").cast("string"), F.lit(" proveedores (se genera ranking interno)"))))

@@ -78,6 +78,7 @@ def unusual_substitutes(subs: DataFrame, min_score: float = 0.70) -> DataFrame:
     low = subs.where((F.col("kind") == "externo") & (F.col("score") < min_score))
     bad = (F.col("price") <= 0) | (F.col("lead_time") < 0) | (F.col("availability") < 0) | F.col("priority").isNull()
     odd = subs.where((F.col("kind") == "interno") & F.coalesce(bad, F.lit(False)))
+    # Texts of the reasons.
     return low.withColumn("reason", F.lit(f"externo_score<{min_score}")).unionByName(
         odd.withColumn("reason", F.lit("interno_metricas_incoherentes"))
     )

@@ -43,10 +43,10 @@ def _(t):
 
 @query(
     "order_alerts",
-    f"""SELECT '{STAMP}' AS timestamp, 'WARN' AS severity, 'Pedido recibido para item desconocido ' || product_id AS message, product_id FROM order_lines WHERE product_id NOT IN (SELECT product_id FROM stock_now)
-        UNION ALL SELECT '{STAMP}', 'CRIT', 'Rotura detectada tras pedido (item ' || product_id || ')', product_id FROM ledger_run WHERE stock_after <= 0
-        UNION ALL SELECT '{STAMP}', 'CRIT', 'Sin sustitutos disponibles para item ' || product_id, product_id FROM after_orders WHERE raw <= 0 AND product_id NOT IN (SELECT product_id FROM good_subs)""",
-    ctes="order_lines ledger_run after_orders good_subs",
+    f"""SELECT '{STAMP}' AS timestamp, 'WARN' AS severity, 'Pedido recibido para item desconocido ' || product_id AS message, product_id, NULL::VARCHAR AS supplier_id FROM order_lines WHERE product_id NOT IN (SELECT product_id FROM stock_now)
+        UNION ALL SELECT '{STAMP}', 'CRIT', 'Rotura detectada tras pedido (item ' || product_id || ')', product_id, supplier FROM ledger_run JOIN (SELECT product_id, supplier FROM inventory) USING (product_id) WHERE stock_after <= 0
+        UNION ALL SELECT '{STAMP}', 'CRIT', 'Sin sustitutos disponibles para item ' || product_id, product_id, NULL FROM after_orders WHERE raw <= 0 AND product_id NOT IN (SELECT product_id FROM good_subs)""",
+    ctes="order_lines ledger_run after_orders good_subs inventory",
 )
 def _(t):
     subs = t.substitutes_external.where("score >= 0.7")

@@ -142,7 +142,9 @@ def test_running_stock_and_alerts(spark):
     assert rows(led, "day", "seq", "stock_after") == [(d("2024-01-01"), 1, 4), (d("2024-01-01"), 2, 0), (d("2024-01-02"), 1, -3)]
     subs = spark.createDataFrame([(2, 1)], "product_id bigint, substitute_id bigint")
     al = I.order_alerts(lines, inv, led, subs, "now")
-    assert rows(al.groupBy("severity").count()) == [("CRIT", 3), ("WARN", 1)]
+    assert rows(al.groupBy("severity").count()) == [("CRIT", 3), ("WARN", 1)] and al.where("supplier_id is not null").count() == 0
+    named = I.order_alerts(lines, inv.withColumn("supplier", F.concat(F.lit("S"), F.col("product_id"))), led, subs, "now")
+    assert {r.supplier_id for r in named.where("message like 'Rotura%'").collect()} == {"S1"}
     assert rows(I.apply_customer_orders(inv, lines), "product_id", "stock_new") == [(1, 0), (2, 5)]
     assert rows(I.unmatched_orders(inv, lines)) == [(9, 1)]
 
