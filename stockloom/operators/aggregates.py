@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stockloom.functions import dates as D
 from stockloom.operators.prefix import exact_quantiles
+from stockloom.session import written
 
 
 def one() -> Column:
@@ -184,14 +185,16 @@ def cluster_outlier_audit(df: DataFrame, cluster_a: str, cluster_b: str, flag: s
 
 def cluster_profile_stats(df: DataFrame, cluster: str, product: str, cols: list[str]) -> DataFrame:
     """Mean, std, min, max and exact median of each feature. A cluster may hold most products, so the
-    medians come from distributed quantiles and not from one aggregation buffer."""
+    medians come from distributed quantiles and not from one aggregation buffer. The features are written
+    once, and the medians of all of them are one set of quantiles per (cluster, feature)."""
+    df = written(df.select(cluster, product, *cols))
     aggs = [one().alias("rows"), F.countDistinct(product).alias("products")]
     for c in cols:
         aggs += [F.avg(c).alias(f"{c}_mean"), F.stddev_samp(c).alias(f"{c}_std"), F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max")]
-    out = df.groupBy(cluster).agg(*aggs)
-    for c in cols:
-        out = out.join(exact_quantiles(df, [cluster], c, {f"{c}_median": 0.5}), cluster, "left")
-    return out
+    long = df.select(cluster, F.explode(F.array(*[F.struct(F.lit(c).alias("f"), F.col(c).cast("double").alias("v")) for c in cols])).alias("_p"))
+    medians = exact_quantiles(long.select(cluster, F.col("_p.f").alias("_f"), F.col("_p.v").alias("_x")), [cluster, "_f"], "_x", {"_median": 0.5})
+    wide = medians.groupBy(cluster).agg(*[F.max(F.when(F.col("_f") == c, F.col("_median"))).alias(f"{c}_median") for c in cols])
+    return df.groupBy(cluster).agg(*aggs).join(wide, cluster, "left")
 
 
 def category_cluster_pivot(df: DataFrame, category: str, cluster: str, clusters: list[int], product: str | None = None) -> DataFrame:
@@ -344,12 +347,9 @@ def global_total_row(df: DataFrame, group: str, value: str, label: str = "TOTAL"
 
 
 def month_product_share(df: DataFrame, date: str, qty: str) -> DataFrame:
-    """Month total over the grand total; twelve rows, so the closing window is tiny."""
-    from pyspark.sql import Window
-
-    m = df.groupBy(F.month(date).alias("month")).agg(F.sum(qty).alias("total_month"))
-    all_months = Window.partitionBy(F.lit(0))
-    return m.withColumn("factor", F.col("total_month") / F.sum("total_month").over(all_months))
+    """Month total over the grand total."""
+    m = written(df.groupBy(F.month(date).alias("month")).agg(F.sum(qty).alias("total_month")))
+    return m.withColumn("factor", F.col("total_month") / m.agg(F.sum("total_month")).scalar())
 
 
 def distinct_category_list(df: DataFrame, category: str) -> DataFrame:

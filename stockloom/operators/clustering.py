@@ -267,6 +267,7 @@ def davies_bouldin(df: DataFrame, cluster: str, cols: list[str]) -> DataFrame:
 
     Pairs are formed between centroids only: one row per cluster.
     """
+    df = written(df.select(cluster, *cols))
     cent = _centroids(df, cluster, cols)
     dist = F.sqrt(sum((F.pow(F.col(c) - F.col(f"_c_{c}"), 2) for c in cols), F.lit(0.0)))
     scatter = df.join(cent, cluster).groupBy(cluster).agg(F.avg(dist).alias("_s"))

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stockloom.functions.text import normalize_product_id
+from stockloom.operators.aggregates import count_if, one
+from stockloom.session import written
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
@@ -97,3 +99,17 @@ def history_plus_forecast(history: DataFrame, forecast: DataFrame, first: str, y
     past = history.where(F.col("date") >= F.lit(first).cast("date")).select("product_id", "date", "qty", F.lit("history").alias("part"))
     future = forecast.where(F.year("date") == year).select("product_id", "date", F.col("y_pred").alias("qty"), F.lit("forecast").alias("part"))
     return past.unionByName(future)
+
+
+def quality_snapshot(subs: DataFrame) -> DataFrame:
+    """Counts of the unified substitute table as one JSON row."""
+    subs = written(subs)
+    pairs = subs.where("kind = 'externo'").select("product_id", "substitute_id")
+    asym = asymmetric_pairs(pairs, "product_id", "substitute_id").agg(F.count(F.lit(1)))
+    odd = unusual_substitutes(subs).agg(F.count(F.lit(1)))
+    dup = exact_duplicates(subs)[0].agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long"))
+    row = subs.agg(
+        one().alias("n_rows"), F.countDistinct("product_id").alias("n_products"),
+        count_if(F.col("kind") == "interno").alias("n_internal"), count_if(F.col("kind") == "externo").alias("n_external"),
+    ).select("*", dup.scalar().alias("n_duplicates"), asym.scalar().alias("n_asymmetric"), odd.scalar().alias("n_unusual"))
+    return row.select(F.to_json(F.struct("*")).alias("snapshot"))

@@ -1097,20 +1097,7 @@ def _(t):
     ctes="unified_subs",
 )
 def _(t):
-    return quality_snapshot(unified_subs(t))
-
-
-def quality_snapshot(subs):
-    """Counts of the unified substitute table as one JSON row."""
-    pairs = subs.where("kind = 'externo'").select("product_id", "substitute_id")
-    asym = U.asymmetric_pairs(pairs, "product_id", "substitute_id").agg(F.count(F.lit(1)))
-    odd = U.unusual_substitutes(subs).agg(F.count(F.lit(1)))
-    dup = U.exact_duplicates(subs)[0].agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long"))
-    row = subs.agg(
-        A.one().alias("n_rows"), F.countDistinct("product_id").alias("n_products"),
-        A.count_if(F.col("kind") == "interno").alias("n_internal"), A.count_if(F.col("kind") == "externo").alias("n_external"),
-    ).select("*", dup.scalar().alias("n_duplicates"), asym.scalar().alias("n_asymmetric"), odd.scalar().alias("n_unusual"))
-    return row.select(F.to_json(F.struct("*")).alias("snapshot"))
+    return U.quality_snapshot(unified_subs(t))
 
 
 @query(
