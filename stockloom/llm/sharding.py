@@ -16,13 +16,15 @@ MAP_SCHEMA = "version int, virtual_slot int, shard int"
 
 
 def measured(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """``doc_id, size, text_crc32, virtual_slot`` per record; the slot hashes the id only."""
+    """``doc_id, size, text_crc32, virtual_slot`` per record; the slot hashes the id, or the text of a row without one."""
     text = F.coalesce("text", F.lit(""))
+    checksum = F.crc32(F.encode(text, "UTF-8"))
+    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), checksum))
     return docs.select(
         F.col("doc_id").alias("doc_id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
-        F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
-        F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(slots)).cast("int").alias("virtual_slot"),
+        checksum.alias("text_crc32"),
+        F.pmod(F.xxhash64(key), F.lit(slots)).cast("int").alias("virtual_slot"),
     )
 
 
@@ -113,7 +115,7 @@ def sharded(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, map_path:
     virtual slots (a parameter) make smaller tasks and finer balance. One record is never split, so a
     shard can be uneven by one record at most as large as the heaviest slot.
 
-    Nulls: a null text has size 1 and the checksum of the empty text; records without id share a slot.
+    Nulls: a null text has size 1 and the checksum of the empty text; records without id are hashed by their text.
     Repeated rows each take a place. An empty table gives no rows. Further columns are ignored.
     """
     spark = docs.sparkSession
