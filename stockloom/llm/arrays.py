@@ -11,8 +11,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 SLICE_BYTES = 1 << 20
+BATCH_ROWS = 1000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 FOLD = np.uint64(0xD6E8FEB86659FD93)
 
@@ -58,6 +60,19 @@ def mixed32(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def text_batches(df: DataFrame) -> DataFrame:
+    """``df`` as it is, in a session that sends at most ``BATCH_ROWS`` rows at once to Python.
+
+    Spark's default of 10,000 rows is meant for narrow rows; as many texts take a large share of an
+    executor's memory. A smaller setting of the session stays.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def pieces(batches, text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches so that a piece holds at most ``limit`` text bytes, or a single row."""
     for batch in batches:

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stockloom.llm.arrays import pieces
+from stockloom.llm.arrays import pieces, text_batches
 from stockloom.llm.keyfilter import found, key_filter
 
 LAST = (1 << 63) - 1
@@ -19,7 +19,7 @@ LAST = (1 << 63) - 1
 def keyed(docs: DataFrame) -> DataFrame:
     """``ord, text_key, text``: the id as an order (no id: last) and a hash that tells texts of one id apart."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select(
+    return text_batches(docs).select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("ord"), F.xxhash64(text).alias("text_key"), text.alias("text")
     )
 

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from stockloom.llm.arrays import LOWER, flat, grams, pieces, prefix, spans, words
+from stockloom.llm.arrays import LOWER, flat, grams, pieces, prefix, spans, text_batches, words
 from stockloom.llm.license_scan import IS_WORD
 
 GRAM = 5
@@ -226,7 +226,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
                         }
                     )
 
-        return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, item_id {item_kind}, start_word long, n_words long, similarity double")
+        return text_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, item_id {item_kind}, start_word long, n_words long, similarity double")
 
     return reduce(DataFrame.unionByName, [searched(i) for i in indexes(benchmark, **how)])
 
@@ -241,6 +241,6 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
                 keep[[hit[0] for hit in index.leaks(piece.column("text"))]] = False
                 yield piece.filter(pa.array(keep))
 
-        return rows.mapInArrow(run, rows.schema)
+        return text_batches(rows).mapInArrow(run, rows.schema)
 
     return reduce(cleaned, indexes(benchmark, **how), docs)

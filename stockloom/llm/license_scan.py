@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stockloom.llm.arrays import LOWER, flat, grams, pieces, prefix, spans, within, words
+from stockloom.llm.arrays import LOWER, flat, grams, pieces, prefix, spans, text_batches, within, words
 from stockloom.session import written
 
 # Phrases and their labels.
@@ -115,7 +115,7 @@ def scan_licenses(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, k: int
             )
 
     kind = dict(docs.dtypes)["doc_id"]
-    stream = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text").mapInArrow(
+    stream = text_batches(docs).select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text").mapInArrow(
         run, f"doc_id {kind}, text_key long, place long, h long, check long"
     )
     hits = written(stream.join(table, ["h", "check"]).select("doc_id", "text_key", "place", "template", "label", "t_place", "n_grams", "t_words"))

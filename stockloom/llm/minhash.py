@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stockloom.llm.arrays import FOLD, IS_SPACE, LOWER, flat, grams, lists, mixed, pieces, prefix, spans, within, words
+from stockloom.llm.arrays import FOLD, IS_SPACE, LOWER, flat, grams, lists, mixed, pieces, prefix, spans, text_batches, within, words
 from stockloom.llm.keyfilter import found, id_key, key_filter
 from stockloom.operators.components import components
 from stockloom.session import written
@@ -103,7 +103,7 @@ def _signed(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                 names=["doc_id", "n_shingles", "d1", "d2", "bands", "code"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+    return text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         run, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, code array<tinyint>"
     )
 
@@ -119,7 +119,7 @@ def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
                 flat_set, counts = shingle_sets(piece.column("text"), k)
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), lists(flat_set.view(np.int64), counts)], names=["doc_id", "shingles"])
 
-    source = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    source = text_batches(docs).where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
     return source.withColumn("key", id_key("doc_id")).mapInArrow(run, schema).join(ids, "doc_id", "left_semi")
 

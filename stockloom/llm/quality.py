@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stockloom.llm.arrays import IS_SPACE, LOWER, flat, grams, pieces, prefix, spans, within, words
+from stockloom.llm.arrays import IS_SPACE, LOWER, flat, grams, pieces, prefix, spans, text_batches, within, words
 
 # At most so many labelled rows are fitted on, picked by a hash of the id.
 MOST_LABELS = 20_000
@@ -191,7 +191,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELS) ->
             flat_x = pa.array(x.reshape(-1))
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("quality"), pa.FixedSizeListArray.from_arrays(flat_x, x.shape[1]).cast(pa.list_(pa.float64()))], names=["doc_id", "quality", "x"])
 
-    sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # at most ``most`` ids
+    sample = text_batches(docs).select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # at most ``most`` ids
     rows = sample.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("quality").cast("int"), "text").mapInArrow(run, "doc_id string, quality int, x array<double>")
     got = rows.dropDuplicates(["doc_id"]).orderBy("doc_id").toPandas()
     x = np.array(got["x"].tolist(), float).reshape(len(got), len(FEATURES))
@@ -210,7 +210,7 @@ def score_documents(docs: DataFrame, model: Trees, threshold: float = THRESHOLD)
             score = model.score(text_statistics(piece.column("text")))
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("held_out"), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    source = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
+    source = text_batches(docs).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
     kind = dict(docs.dtypes)["doc_id"]
     return source.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
 
@@ -222,4 +222,4 @@ def keep_good(docs: DataFrame, model: Trees, threshold: float = THRESHOLD) -> Da
         for piece in pieces(batches):
             yield piece.filter(pa.array(model.score(text_statistics(piece.column("text"))) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return text_batches(docs).mapInArrow(run, docs.schema)
