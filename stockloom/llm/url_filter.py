@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stockloom.session import written
+from stockloom.session import discard, written
 
 # Fixed values: (verdict, host and path) of the rules.
 RULES = (
@@ -56,8 +56,8 @@ def host_edges(pages: DataFrame) -> DataFrame:
     directions, since both are run by the same owner. Hosts without any link point at themselves.
     """
     linked = pages.select(F.col("host").alias("src"), F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit(_LINK), F.lit(1)))).alias("dst"))
-    links = linked.select("src", F.translate("dst", _UPPER, _LOWER).alias("dst")).where("src <> '' and src <> dst").distinct()
-    hosts = pages.select("host").unionByName(links.select(F.col("dst").alias("host"))).where("host <> ''").distinct()
+    links = written(linked.select("src", F.translate("dst", _UPPER, _LOWER).alias("dst")).where("src <> '' and src <> dst").distinct())
+    hosts = written(pages.select("host").unionByName(links.select(F.col("dst").alias("host"))).where("host <> ''").distinct())
     labels = F.split("host", r"\.")
     above = F.transform(F.sequence(F.lit(1), F.size(labels) - 1), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     # every host with the one above it, up to two labels
@@ -79,10 +79,13 @@ def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds:
     """
     ranks = seeds.select("kind", "host", F.col("share").alias("rank"))
     start = seeds.select("kind", "host", ((1 - damping) * F.col("share")).alias("rank"))
+    last = None
     for _ in range(rounds):
         moved = edges.join(ranks.withColumnRenamed("host", "src"), ["kind", "src"])
         handed = moved.select("kind", F.col("dst").alias("host"), (damping * F.col("rank") * F.col("weight")).alias("rank"))
         ranks = written(handed.unionByName(start).groupBy("kind", "host").agg(F.sum("rank").alias("rank")))
+        discard(edges.sparkSession, last)
+        last = ranks
     return ranks
 
 
