@@ -18,7 +18,8 @@ GRAM = 5
 SIMILARITY = 0.8
 STRIDE = 4
 BLOCKS = 4  # of 16 bits
-RADIUS = 11
+RADIUS = 15
+KNOWN_BITS = 20
 ITEMS_PER_PASS = 2000
 
 
@@ -116,6 +117,22 @@ class Index:
     gram: int
     radius: int
     similarity: float
+    known: np.ndarray | None = None
+
+    def candidates(self, stream: np.ndarray, owner: np.ndarray, sized: Sized) -> np.ndarray:
+        """The steps of the strided windows inside one text that can belong to a leak.
+
+        Of an item's N shingles a leak of similarity s has at most N(1-s)/(1+s) that the item lacks, and its
+        window ends at most ``STRIDE`` shingles outside. Windows with more shingles that no item has are left out;
+        ``known`` can take a shingle for one of an item, never the other way round.
+        """
+        size, stride = sized.size, sized.stride
+        start = np.arange(0, len(stream) // stride * stride - size + 1, stride)
+        most = max(int(self.shingles[i][1].sum()) for i in np.unique(sized.item).tolist())
+        unknown = np.concatenate([[0], np.cumsum(~self.known[stream >> np.uint64(64 - KNOWN_BITS)])])
+        few = unknown[start + size] - unknown[start] <= int(most * (1 - self.similarity) / (1 + self.similarity) + 1e-9) + STRIDE
+        start = start[few]
+        return start[owner[start] == owner[start + size + self.gram - 2]] // stride
 
     def leaks(self, column: pa.Array) -> list[tuple[int, int, int, float]]:
         """``(text, item, first word, similarity)``: per text and item the best window that is similar enough."""
@@ -126,13 +143,22 @@ class Index:
         owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
         seen: set[tuple[int, int, int]] = set()
         for stride in sorted({s.stride for s in self.sized}):
-            by_size = {s.size: s for s in self.sized if s.stride == stride}
-            for size, prints in window_bits(stream, sorted(by_size), stride):
-                start = np.arange(len(prints)) * stride
-                whole = np.flatnonzero(owner[start] == owner[start + size + self.gram - 2])
+            steps = {s.size: self.candidates(stream, owner, s) for s in self.sized if s.stride == stride}
+            by_size = {s.size: s for s in self.sized if s.stride == stride and len(steps[s.size])}
+            if not by_size:
+                continue
+            # only the steps that a candidate covers are summed
+            cover = np.zeros(len(stream) // stride + 1, np.int64)
+            for size in by_size:
+                np.add.at(cover, steps[size], 1)
+                np.add.at(cover, steps[size] + size // stride, -1)
+            needed = np.cumsum(cover)[:-1] > 0
+            place = np.cumsum(needed) - 1
+            part = stream[: len(needed) * stride].reshape(-1, stride)[needed].reshape(-1)
+            for size, prints in window_bits(part, sorted(by_size), stride):
                 sized = by_size[size]
-                at, entry = sized.search(prints[whole], self.radius)
-                at = start[whole[at]]
+                at, entry = sized.search(prints[place[steps[size]]], self.radius)
+                at = steps[size][at] * stride
                 item, begin = sized.item[entry], at - sized.offset[entry]
                 seen.update(zip(owner[at].tolist(), item.tolist(), begin.tolist()))
         best: dict[tuple[int, int], tuple[float, int]] = {}
@@ -179,6 +205,9 @@ def build_index(ids: list, texts: list[str], gram: int = GRAM, radius: int = RAD
     for (size, stride), rows in sorted(groups.items()):
         prints, item, offset = zip(*rows)
         out.sized.append(Sized(size, stride, np.array(prints, np.uint64), np.array(item), np.array(offset)).build(radius))
+    out.known = np.zeros(1 << KNOWN_BITS, bool)
+    for values, _ in out.shingles:
+        out.known[values >> np.uint64(64 - KNOWN_BITS)] = True
     return out
 
 
@@ -198,8 +227,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """``doc_id, item_id, start_word, n_words, similarity``: one row per document and item it holds.
 
     Every window of every document that has about the size of an item gets a SimHash of its 5-word
-    shingles. Four 16-bit blocks are looked up with up to two bits flipped, which finds every item window
-    within 11 bits; then the item is compared with the words at that place (weighted Jaccard of the
+    shingles. Four 16-bit blocks are looked up with up to three bits flipped, which finds every item window
+    within 15 bits; windows with too many shingles that no item has
+    are left out before, as they cannot reach 0.8. Then the item is compared with the words at that place (weighted Jaccard of the
     shingles, at shifts of up to four words), and 0.8 is a leak. The documents are not shuffled: each pass
     sends an index of at most ``ITEMS_PER_PASS`` items to the tasks.
 

@@ -162,6 +162,32 @@ def test_the_index_finds_every_print_within_the_radius():
     assert {int(a) for a, e in zip(at, entry) if e == 0} == set(range(len(prints)))
 
 
+def best_window(item, text, gram=5):
+    """The weighted Jaccard similarity of the best of all windows of the item's length, by counting."""
+    shingles = lambda w: collections.Counter(tuple(w[i : i + gram]) for i in range(len(w) - gram + 1))
+    own, n, best = shingles(item), len(item), 0.0
+    for i in range(len(text) - n + 1):
+        low = (own & shingles(text[i : i + n])).total()
+        best = max(best, low / (2 * (n - gram + 1) - low))
+    return best
+
+
+def test_edited_passages_are_found():
+    r, found, want = random.Random(12), 0, 0
+    for n_shingles, edits in ((45, 1), (51, 1), (91, 2)):
+        for _ in range(150):
+            words = [f"w{r.getrandbits(40)}" for _ in range(n_shingles + 4)]
+            changed = list(words)
+            at = r.randrange(5, len(words) // 2 - 5)
+            for i in (at, at + len(words) // 2 - 1)[:edits]:
+                changed[i] = "edited"
+            text = [f"p{r.getrandbits(40)}" for _ in range(r.randrange(40))] + changed + [f"q{r.getrandbits(40)}" for _ in range(30)]
+            if 0.8 <= best_window(words, text) <= 0.85:
+                want += 1
+                found += bool(build_index([1], [" ".join(words)]).leaks(pa.array([" ".join(text)])))
+    assert want > 400 and found / want >= 0.99
+
+
 # ---- 2 and 9 repeated spans --------------------------------------------------------------------
 
 
