@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stockloom.llm.decontaminate import without_leaks
 from stockloom.llm.minhash import without_near_duplicates
-from stockloom.llm.mixing import mixed_rows
+from stockloom.llm.mixing import mixed_rows, row_order
 from stockloom.llm.quality import fit_quality, keep_good
 from stockloom.llm.registry import table
 from stockloom.llm.sharding import sharded
@@ -37,8 +37,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row of the mix with its shard and its place there."""
-    return sharded(docs)
+    """Every row of the mix with its shard and its place there; a shard's rows stand in training order."""
+    return sharded(docs, order=row_order(docs))
 
 
 STAGES = [

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -149,15 +150,26 @@ def mixed_rows(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs``, with all their columns, as often as the mix reads them, in training order.
 
     Whole documents only: a placement that reads at least half of its document's words is one row, a
-    smaller one is none. Rows that repeat a ``doc_id`` are read in turn and so share the same placements.
+    smaller one is none, unless it is the only one of its source. Rows that repeat a ``doc_id`` are read in turn and so share the same placements.
     Rows without id are numbered by nothing and cannot be placed again; they stay once if they have words.
     """
     mixed = mixed_documents(docs, **how)
-    read = mixed.select("doc_id", F.filter("placements", lambda p: p["words"] * 2 >= F.col("size")).alias("placements"))
+    words = F.floor(F.col("target") + 0.5)  # a placement of all words of the target is the only one of its source
+    read = mixed.select("doc_id", F.filter("placements", lambda p: (p["words"] * 2 >= F.col("size")) | (p["words"] == words)).alias("placements"))
     places = written(
         read.where("doc_id is not null").groupBy("doc_id").agg(F.max("placements").alias("_places")).where(F.size("_places") > 0).select(F.col("doc_id").alias("_id"), "_places")
     )
     named = docs.join(places, docs["doc_id"] == places["_id"]).select(*docs.columns, F.explode("_places").alias("_place"))
-    ordered = named.withColumn("_position", F.col("_place.position")).drop("_place")
-    unnamed = docs.where("doc_id is null").where(word_count(F.col("text")) > 0).withColumn("_position", F.lit(1.0))
-    return ordered.unionByName(unnamed).orderBy("_position").drop("_position")
+    ordered = named.withColumn("_position", F.col("_place.position")).withColumn("_epoch", F.col("_place.epoch")).drop("_place")
+    unnamed = docs.where("doc_id is null").where(word_count(F.col("text")) > 0).withColumn("_position", F.lit(1.0)).withColumn("_epoch", F.lit(0))
+    return ordered.unionByName(unnamed).orderBy("_position", "source", "_epoch", "doc_id", F.xxhash64("text")).drop("_position", "_epoch")
+
+
+def row_order(mix: DataFrame) -> Column:
+    """The place of each row of a stored mix: number of its part file and row in it; of other frames, the order they are held in."""
+    try:
+        mix.select("_metadata.row_index")
+    except AnalysisException:
+        return F.monotonically_increasing_id()
+    name = F.col("_metadata.file_name")
+    return F.struct(F.regexp_extract(name, r"part-(\d+)", 1).try_cast("long").alias("part"), name.alias("name"), F.col("_metadata.row_index").alias("row"))

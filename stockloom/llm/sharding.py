@@ -5,9 +5,10 @@ from __future__ import annotations
 import heapq
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from stockloom.operators.prefix import row_positions
 from stockloom.session import shared_folder, written
 
 SLOTS = 4096
@@ -15,8 +16,8 @@ SHARDS = 16
 MAP_SCHEMA = "version int, virtual_slot int, shard int"
 
 
-def measured(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """``doc_id, size, text_crc32, virtual_slot`` per record; the slot hashes the id, or the text of a row without one."""
+def measured(docs: DataFrame, slots: int = SLOTS, *more: Column) -> DataFrame:
+    """``doc_id, size, text_crc32, virtual_slot`` and ``more`` per record; the slot hashes the id, or the text of a row without one."""
     text = F.coalesce("text", F.lit(""))
     checksum = F.crc32(F.encode(text, "UTF-8"))
     key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), checksum))
@@ -25,6 +26,7 @@ def measured(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
         (F.octet_length(text) + 1).cast("long").alias("size"),
         checksum.alias("text_crc32"),
         F.pmod(F.xxhash64(key), F.lit(slots)).cast("int").alias("virtual_slot"),
+        *more,
     )
 
 
@@ -104,7 +106,7 @@ def slot_loads(records: DataFrame) -> dict[int, int]:
     return {r.virtual_slot: r.load for r in records.groupBy("virtual_slot").agg(F.sum("size").alias("load")).collect()}
 
 
-def sharded(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
+def sharded(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, map_path: str | None = None, order: Column | None = None) -> DataFrame:
     """Law ``bytes``: ``doc_id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot, map_version``.
 
     Records are hashed by id into ``slots`` virtual slots. Version 0 of the map deals the slots round;
@@ -113,30 +115,39 @@ def sharded(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, map_path:
     the record's place in its shard, from 0 without gaps: its rank inside the virtual slot plus the
     records of the shard's virtual slots before it, so no task orders more than one virtual slot. More
     virtual slots (a parameter) make smaller tasks and finer balance. One record is never split, so a
-    shard can be uneven by one record at most as large as the heaviest slot.
+    shard can be uneven by one record at most as large as the heaviest slot. With ``order`` (no ties) a
+    shard's records stand in that order instead, ranked over its whole length in cuts of any size.
 
     Nulls: a null text has size 1 and the checksum of the empty text; records without id are hashed by their text.
     Repeated rows each take a place. An empty table gives no rows. Further columns are ignored.
     """
     spark = docs.sparkSession
     path = map_path or f"{shared_folder(spark).rstrip('/')}/slot_maps/{uuid.uuid4().hex}"
-    records = written(measured(docs, slots))
+    records = written(measured(docs, slots, *([] if order is None else [order.alias("_order")])))
     start = first_map(slots, shards)
     store_map(spark, path, 0, start)
     store_map(spark, path, 1, rebalanced(start, slot_loads(records), shards))
     current = F.broadcast(stored_map(spark, path, 1))  # one row per virtual slot
+    if order is not None:
+        dealt = records.join(current, "virtual_slot")
+        placed = row_positions(dealt, ["shard"], [F.col("_order").asc()], "_at")
+        return _result(placed, F.col("_at") - 1)
     counts = records.groupBy("virtual_slot").agg(F.count(F.lit(1)).alias("n")).join(current, "virtual_slot")
     before = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("virtual_slot", "shard", "version", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     inside = Window.partitionBy("virtual_slot").orderBy("doc_id", "size", "text_crc32")
     placed = records.withColumn("rank", F.row_number().over(inside) - 1)
-    return placed.join(F.broadcast(offsets), "virtual_slot").select(
+    return _result(placed.join(F.broadcast(offsets), "virtual_slot"), F.col("before") + F.col("rank"))
+
+
+def _result(placed: DataFrame, slot: Column) -> DataFrame:
+    return placed.select(
         "doc_id",
         "size",
         "text_crc32",
         F.lit("bytes").alias("law"),
         "shard",
-        (F.col("before") + F.col("rank")).cast("long").alias("slot"),
+        slot.cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
         "virtual_slot",
         F.col("version").alias("map_version"),

@@ -11,18 +11,20 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from corpus_pipeline import sharding_stage
 from stockloom.llm.chunk_dedup import MOST_CHUNK, chunks, without_repeated_chunks
 from stockloom.llm.decontaminate import build_index, find_leaks, without_leaks
 from stockloom.llm.exact_dedup import exact_groups
 from stockloom.llm.license_scan import PHRASES, scan_licenses
 from stockloom.llm.minhash import linked_to_block, near_duplicates, without_near_duplicates
-from stockloom.llm.mixing import SCHEDULES, demanded_until, mixed_documents, mixed_rows
+from stockloom.llm.mixing import SCHEDULES, demanded_until, mixed_documents, mixed_rows, training_order
 from stockloom.llm.quality import fit_quality, keep_good, score_documents
 from stockloom.llm.sharding import sharded, stored_map
 from stockloom.llm.suffix_dedup import without_repeats
 from stockloom.llm.suffixes import common_prefixes, suffix_array
 from stockloom.llm.url_filter import judged_urls
 from stockloom.operators.components import components
+from stockloom.session import written
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, rep long, kept string"
 rng = random.Random(5)
@@ -309,6 +311,32 @@ def test_mixing_odd_rows(spark, odd, empty):
     assert rows.columns == odd.columns and rows.where("doc_id in (0, 1, 2)").count() == 0
 
 
+def test_the_last_stage_keeps_the_training_order(spark):
+    docs = docs_of(spark, [prose(20) for _ in range(400)], sources=["a", "b", "c", "d"] * 100)
+    results = []
+    for schedules in (SCHEDULES, SCHEDULES[::-1]):
+        mix = written(mixed_rows(docs, schedules=schedules))
+        shards = collections.defaultdict(list)
+        for x in sharding_stage(spark, mix, None).collect():
+            shards[x.shard].append((x.slot, x.doc_id))
+        assert all([s for s, _ in sorted(rows)] == list(range(len(rows))) for rows in shards.values())
+        order = collections.defaultdict(list)  # a document has one shard
+        home = {d: shard for shard, rows in shards.items() for _, d in rows}
+        for x in training_order(mixed_documents(docs, schedules=schedules)).collect():
+            if x.words * 2 >= 20:
+                order[home[x.doc_id]].append(x.doc_id)
+        assert {k: [d for _, d in sorted(rows)] for k, rows in shards.items()} == order
+        results.append(order)
+    assert results[0] != results[1]
+
+
+def test_no_source_with_a_target_is_left_without_rows(spark):
+    docs = docs_of(spark, ["w " * 400, "w " * 400, "w " * 500], sources=["a", "b", "c"])
+    targets = {x.source: (x.target, x.size) for x in mixed_documents(docs).collect()}
+    assert targets["c"][0] * 2 < targets["c"][1]
+    assert {x.source for x in mixed_rows(docs).collect()} == {"a", "b", "c"}
+
+
 # ---- 5, 7 exact dedup and sharding -------------------------------------------------------------
 
 
