@@ -24,50 +24,91 @@ from stockloom.session import written
 
 LENGTH = 2048
 END_ID = 0
-CACHED_WORDS = 200_000
-CACHED_LENGTH = 48
-_SPACE_BEFORE_SPACE = re.compile(r"\s ")
+KEPT_PARTS = 800_000
+_WIDE_SPACE = re.compile(r"\s\s")
 _LOW = 1 << 48
 
 
-@lru_cache(maxsize=2)
-def _encoder(tokenizer_file: str):
-    """A function from texts to their lists of ids; each Python worker loads the tokenizer once."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+class _Encoder:
+    """From texts to their ids, by a tokenizer file; ids of the parts of a text are kept for later texts.
 
-    tokenizer = Tokenizer.from_file(tokenizer_file)
-    known: dict[str, list[int]] = {}
+    Each Python worker loads the tokenizer once. What is kept is bounded, and forgotten as a whole when full.
+    """
 
-    def encode(texts: list[str]) -> list[list[int]]:
+    def __init__(self, tokenizer_file: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        vocabulary = self.tokenizer.get_vocab()
+        self.leads = np.zeros(max(vocabulary.values()) + 1, bool)  # ids whose bytes begin with a blank
+        self.leads[[n for token, n in vocabulary.items() if token.startswith("\u0120")]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.ids, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def learn(self, new: list[str]) -> None:
+        """Keeps the ids of parts. Plain words go through the tokenizer as one text: an id that begins with a blank begins the next."""
+        plain = [p for p in new if p[1:].split() == [p[1:]] and p[0] == " " and "<|" not in p]
+        coded = np.array(self.tokenizer.encode_batch_fast(["".join(plain)], add_special_tokens=False)[0].ids, np.uint32)
+        begins = np.flatnonzero(self.leads[coded])
+        if len(begins) != len(plain):
+            plain, coded, begins = [], coded[:0], begins[:0]
+        known = set(plain)
+        rest = [p for p in new if p not in known]
+        lists = [e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
+        sizes = np.concatenate((np.diff(np.append(begins, len(coded))), np.array([len(x) for x in lists], np.int64)))
+        self.number.update(zip([*plain, *rest], range(len(self.number), len(self.number) + len(new))))
+        self.ids = np.concatenate((self.ids, coded, np.array(list(chain.from_iterable(lists)), np.uint32)))
+        self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(sizes)))
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and how many each has."""
+        if len(self.number) > KEPT_PARTS or len(self.ids) > 8 * KEPT_PARTS:
+            self.forget()
         cut = [parts(t) for t in texts]
-        if len(known) > CACHED_WORDS:
-            known.clear()
-        new = list({p for ps in cut for p in ps if p not in known})
-        coded = {p: e.ids for p, e in zip(new, tokenizer.encode_batch(new, add_special_tokens=False))}
-        known.update((p, ids) for p, ids in coded.items() if len(p) <= CACHED_LENGTH)
-        coded.update((p, known[p]) for ps in cut for p in ps if p in known)
-        return [list(chain.from_iterable(map(coded.__getitem__, ps))) for ps in cut]
+        flat = list(chain.from_iterable(cut))
+        self.learn(list(set(flat) - self.number.keys()))
+        at = np.fromiter(map(self.number.__getitem__, flat), np.int64, len(flat))
+        sizes = self.ends[at + 1] - self.ends[at]
+        total = np.concatenate(([0], np.cumsum(sizes)))
+        where = np.repeat(self.ends[at] - total[:-1], sizes) + np.arange(total[-1])
+        bounds = np.concatenate(([0], np.cumsum([len(c) for c in cut]))).astype(np.int64)
+        return self.ids[where], np.diff(total[bounds])
+
 
-    return encode
+@lru_cache(maxsize=2)
+def _encoder(tokenizer_file: str) -> _Encoder:
+    return _Encoder(tokenizer_file)
 
 
 def parts(text: str) -> list[str]:
-    """``text`` cut before every space that follows something else than white space.
+    """``text`` cut at places where a byte-level tokenizer begins a new word and looks at nothing before it.
 
-    A byte-level tokenizer begins a new word at each of these places and looks at nothing before it, so
-    the ids of the text are those of its parts in a row, and a part that comes again needs no new search.
+    These are: before a space that follows something else than white space, and around a line feed that
+    has no white space beside it. So the ids of the text are those of its parts in a row, and a part
+    that comes again needs no new search.
     """
-    cut = text.split(" ")
-    out = [cut[0]] if cut[0] else []
-    if text[:1] == " " or _SPACE_BEFORE_SPACE.search(text):
-        for before, part in zip(cut, cut[1:]):
-            if out and (not before or before[-1].isspace()):
-                out[-1] += " " + part
-            else:
-                out.append(" " + part)
+    out: list[str] = []
+    if not text[:1].isspace() and not _WIDE_SPACE.search(text):
+        for n, line in enumerate(text.split("\n")):
+            if n:
+                out.append("\n")
+            cut = line.split(" ")
+            if cut[0]:
+                out.append(cut[0])
+            out.extend([" " + p for p in cut[1:]])
         return out
-    out.extend([" " + p for p in cut[1:]])
+    cut = text.split(" ")
+    if cut[0]:
+        out.append(cut[0])
+    for before, part in zip(cut, cut[1:]):
+        if out and (not before or before[-1].isspace()):
+            out[-1] += " " + part
+        else:
+            out.append(" " + part)
     return out
 
 
@@ -84,9 +125,10 @@ def token_pieces(docs: DataFrame, tokenizer_file: str, length: int = LENGTH, end
     def coded(batches):
         encode = _encoder(tokenizer_file)
         for piece in pieces(batches):
-            ids = encode([t or "" for t in piece.column("text").to_pylist()])
-            sizes = np.array([len(x) + 1 for x in ids], np.int64)
-            flat = np.fromiter(chain.from_iterable(chain.from_iterable((x, (end_id,)) for x in ids)), np.uint32, int(sizes.sum()))
+            ids, sizes = encode([t or "" for t in piece.column("text").to_pylist()])
+            ends = np.cumsum(sizes)
+            flat = np.insert(ids, ends, np.uint32(end_id))
+            sizes = sizes + 1
             n = -(-sizes // length)
             owner = np.repeat(np.arange(len(n)), n)
             number = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
