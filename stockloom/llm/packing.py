@@ -25,10 +25,20 @@ from stockloom.session import written
 LENGTH = 2048
 END_ID = 0
 KEPT_PARTS = 800_000
+JOINED_PARTS = 5_000
 _WIDE_SPACE = re.compile(r"\s\s")
 _LOW = 1 << 48
 
 
+class _Numbers(dict):
+    """Numbers strings in the order in which they are first asked for."""
+
+    def __missing__(self, part: str) -> int:
+        n = self[part] = len(self)
+        self.new.append(part)
+        return n
+
+
 class _Encoder:
     """From texts to their ids, by a tokenizer file; ids of the parts of a text are kept for later texts.
 
@@ -46,36 +56,46 @@ class _Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.ids, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-
-    def learn(self, new: list[str]) -> None:
-        """Keeps the ids of parts. Plain words go through the tokenizer as one text: an id that begins with a blank begins the next."""
-        plain = [p for p in new if p[1:].split() == [p[1:]] and p[0] == " " and "<|" not in p]
-        coded = np.array(self.tokenizer.encode_batch_fast(["".join(plain)], add_special_tokens=False)[0].ids, np.uint32)
+        self.number = _Numbers()
+        self.number.new = []
+        self.ids, self.begins, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def learn(self) -> None:
+        """Keeps the ids of the new parts. Neighbours that are plain words go through the tokenizer as one text: an id that begins with a blank begins the next."""
+        new, self.number.new = self.number.new, []
+        is_plain = np.array([p[0] == " " and p[1:].split() == [p[1:]] and "<|" not in p for p in new], bool)
+        plain = [p for p, x in zip(new, is_plain) if x]
+        texts = ["".join(plain[i : i + JOINED_PARTS]) for i in range(0, len(plain), JOINED_PARTS)]
+        coded = self._ids(texts)[0]
         begins = np.flatnonzero(self.leads[coded])
         if len(begins) != len(plain):
-            plain, coded, begins = [], coded[:0], begins[:0]
-        known = set(plain)
-        rest = [p for p in new if p not in known]
-        lists = [e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
-        sizes = np.concatenate((np.diff(np.append(begins, len(coded))), np.array([len(x) for x in lists], np.int64)))
-        self.number.update(zip([*plain, *rest], range(len(self.number), len(self.number) + len(new))))
-        self.ids = np.concatenate((self.ids, coded, np.array(list(chain.from_iterable(lists)), np.uint32)))
-        self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(sizes)))
+            is_plain[:] = False
+            coded, begins = coded[:0], begins[:0]
+        rest, sizes = self._ids([p for p, x in zip(new, is_plain) if not x])
+        at = np.empty(len(new), np.int64)
+        at[is_plain], at[~is_plain] = begins, len(coded) + np.cumsum(sizes) - sizes
+        long = np.empty(len(new), np.int64)
+        long[is_plain], long[~is_plain] = np.diff(np.append(begins, len(coded))), sizes
+        self.begins = np.concatenate((self.begins, len(self.ids) + at))
+        self.sizes = np.concatenate((self.sizes, long))
+        self.ids = np.concatenate((self.ids, coded, rest))
+
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        lists = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.array([len(x) for x in lists], np.int64)
+        return np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum())), sizes
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and how many each has."""
         if len(self.number) > KEPT_PARTS or len(self.ids) > 8 * KEPT_PARTS:
             self.forget()
         cut = [parts(t) for t in texts]
-        flat = list(chain.from_iterable(cut))
-        self.learn(list(set(flat) - self.number.keys()))
-        at = np.fromiter(map(self.number.__getitem__, flat), np.int64, len(flat))
-        sizes = self.ends[at + 1] - self.ends[at]
-        total = np.concatenate(([0], np.cumsum(sizes)))
-        where = np.repeat(self.ends[at] - total[:-1], sizes) + np.arange(total[-1])
         bounds = np.concatenate(([0], np.cumsum([len(c) for c in cut]))).astype(np.int64)
+        at = np.fromiter(map(self.number.__getitem__, chain.from_iterable(cut)), np.int64, int(bounds[-1]))
+        self.learn()
+        sizes = self.sizes[at]
+        total = np.concatenate(([0], np.cumsum(sizes)))
+        where = np.repeat(self.begins[at] - total[:-1], sizes) + np.arange(total[-1])
         return self.ids[where], np.diff(total[bounds])
 
 
