@@ -170,6 +170,36 @@ def merge_forest(points: DataFrame, links: DataFrame, k: int, counts: int) -> Da
     return nodes.drop("_now")
 
 
+def _touched(points: DataFrame, cells: DataFrame, key: str, dims: list[str], eps: list[float], counts: int) -> DataFrame:
+    """``key, _m, _j, _cell``: cells with a core point in reach, for points that are not core themselves.
+
+    A point that is not core for the largest count has fewer neighbours than that, so its pairs are few.
+    """
+    k, last = len(eps), f"core_{counts - 1}"
+    thin = points.where(F.col(last) > 0).join(cells.select(F.col("_a").alias("_cell"), "_b", "lo"), "_cell").where(F.col("lo") < F.col(last))
+    lev = _level(_distance2(dims), eps)
+    of = lambda side, i: F.col(f"{side}.core_{i}")
+    reach = [F.when(F.greatest(lev, of("b", i)) < of("a", i), F.struct(F.lit(i).alias("_m"), F.greatest(lev, of("b", i)).alias("_lo"), (of("a", i) - 1).alias("_hi"))) for i in range(counts)]
+    met = thin.alias("a").join(points.alias("b"), F.col("a._b") == F.col("b._cell")).where(lev < F.least(F.col(f"a.{last}"), F.lit(k)))
+    rows = met.select(F.col(f"a.{key}").alias(key), F.col("b._cell").alias("_cell"), F.explode(F.filter(F.array(*reach), lambda t: t.isNotNull())).alias("t"))
+    return rows.select(key, "_cell", "t._m", F.explode(F.sequence("t._lo", "t._hi")).alias("_j")).distinct()
+
+
+def _settings(df: DataFrame, key: str, eps: list[float], min_samples: list[int]) -> DataFrame:
+    tags = [F.struct(F.lit(i).alias("_m"), F.lit(j).alias("_j"), F.lit(e).alias("eps"), F.lit(m).alias("min_samples")) for i, m in enumerate(min_samples) for j, e in enumerate(eps)]
+    return df.select(key, F.explode(F.array(*tags)).alias("t")).select(key, "t.*")
+
+
+def density_roles(df: DataFrame, key: str, dims: list[str], eps: list[float], min_samples: list[int]) -> DataFrame:
+    """``key, eps, min_samples, role`` as in :func:`density_grid`, which needs no components."""
+    eps, min_samples = sorted(set(map(float, eps))), sorted(set(min_samples))
+    points, cells = core_levels(df.dropna(subset=dims), key, dims, eps, min_samples)
+    cores = _tagged(points, len(eps), len(min_samples)).select(key, "_m", "_j", F.lit("core").alias("role"))
+    border = _touched(points, cells, key, dims, eps, len(min_samples)).select(key, "_m", "_j").distinct().withColumn("role", F.lit("border"))
+    every = _settings(df, key, eps, min_samples).join(cores.unionByName(border), [key, "_m", "_j"], "left")
+    return every.select(key, "eps", "min_samples", F.coalesce("role", F.lit("noise")).alias("role"))
+
+
 def density_grid(df: DataFrame, key: str, dims: list[str], eps: list[float], min_samples: list[int]) -> DataFrame:
     """``key, eps, min_samples, role, cluster`` for every point and every pair of settings.
 
@@ -190,19 +220,10 @@ def density_grid(df: DataFrame, key: str, dims: list[str], eps: list[float], min
     number = row_positions(firsts, ["_m", "_j"], [F.col("_first")], "cluster")
     numbered = written(rooted.join(number.select("_m", "_j", "_root", (F.col("cluster") - 1).alias("cluster")), ["_m", "_j", "_root"]).drop("_root"))
     core_rows = _tagged(points, k, counts).join(numbered, ["_m", "_j", "_cell"]).select(key, "_m", "_j", F.lit("core").alias("role"), "cluster")
-    # A point that is not core for the largest count has fewer neighbours than that: its pairs are few.
-    last = f"core_{counts - 1}"
-    thin = points.where(F.col(last) > 0).join(cells.select(F.col("_a").alias("_cell"), "_b", "lo"), "_cell").where(F.col("lo") < F.col(last))
-    lev = _level(_distance2(dims), eps)
-    of = lambda side, i: F.col(f"{side}.core_{i}")
-    reach = [F.when(F.greatest(lev, of("b", i)) < of("a", i), F.struct(F.lit(i).alias("_m"), F.greatest(lev, of("b", i)).alias("_lo"), (of("a", i) - 1).alias("_hi"))) for i in range(counts)]
-    met = thin.alias("a").join(points.alias("b"), F.col("a._b") == F.col("b._cell")).where(lev < F.col(f"a.{last}"))
-    touched = met.select(F.col(f"a.{key}").alias(key), F.col("b._cell").alias("_cell"), F.explode(F.filter(F.array(*reach), lambda t: t.isNotNull())).alias("t"))
-    touched = touched.select(key, "_cell", "t._m", F.explode(F.sequence("t._lo", "t._hi")).alias("_j")).distinct()
+    touched = _touched(points, cells, key, dims, eps, counts)
     border = touched.join(numbered, ["_m", "_j", "_cell"]).groupBy(key, "_m", "_j").agg(F.min("cluster").alias("cluster")).withColumn("role", F.lit("border"))
     placed = core_rows.unionByName(border)
-    settings = F.explode(F.array(*[F.struct(F.lit(i).alias("_m"), F.lit(j).alias("_j"), F.lit(e).alias("eps"), F.lit(m).alias("min_samples")) for i, m in enumerate(min_samples) for j, e in enumerate(eps)]))
-    every = df.select(key, settings.alias("t")).select(key, "t.*")
+    every = _settings(df, key, eps, min_samples)
     return every.join(placed, [key, "_m", "_j"], "left").select(
         key, "eps", "min_samples", F.coalesce("role", F.lit("noise")).alias("role"), F.coalesce("cluster", F.lit(-1)).cast("int").alias("cluster")
     )

@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from stockloom.operators import aggregates as A
 from stockloom.operators import clustering as C
+from stockloom.operators import density as N
 from stockloom.operators import features as X
 from stockloom.operators import similarity as S
 from stockloom.plans.bindings import CTES
 from stockloom.plans.q_forecast import FEATS, scaled_features
 from stockloom.plans.registry import query
+from stockloom.session import written
 
 KS = [3, 4, 5]
 
@@ -45,31 +47,85 @@ def _(t):
     return C.hierarchical_clusters(scaled_features(t), FEATS, ["product_id"], KS)[0]
 
 
-_DB = """SELECT {eps}::DOUBLE AS eps, {m} AS min_samples, count(*) FILTER (core) AS core, count(*) FILTER (NOT core AND near) AS border, count(*) FILTER (NOT core AND NOT near) AS noise,
-   count(*) FILTER (NOT core AND NOT near)::DOUBLE / count(*) AS noise_share FROM (SELECT p.product_id, c.n >= {m} AS core,
-     EXISTS (SELECT 1 FROM scaled q JOIN cnt{i} d ON d.product_id = q.product_id WHERE d.n >= {m} AND pow(p.d_total - q.d_total, 2) + pow(p.cv - q.cv, 2) <= {eps} * {eps}) AS near
-     FROM scaled p JOIN cnt{i} c ON c.product_id = p.product_id)"""
-_GRID = [(0.1, 10), (0.25, 5)]
-for _i, (_eps, _m) in enumerate(_GRID):
-    CTES[f"cnt{_i}"] = (
-        "scaled",
-        f"SELECT p.product_id, count(*) AS n FROM scaled p JOIN scaled q ON pow(p.d_total - q.d_total, 2) + pow(p.cv - q.cv, 2) <= {_eps} * {_eps} GROUP BY p.product_id",
-    )
+DENSITY = ["d_total", "cv", "p95"]
+EPS, MIN_SAMPLES = [0.4, 0.5, 0.7, 1.0], [5, 10, 15]
+_APART = " + ".join(f"pow(p.{c} - q.{c}, 2)" for c in DENSITY)
+CTES["db_near"] = ("scaled", f"SELECT s.eps, p.product_id AS a, q.product_id AS b FROM scaled p, scaled q, (SELECT unnest({EPS})::DOUBLE AS eps) s WHERE {_APART} <= s.eps * s.eps")
+CTES["db_core"] = ("db_near", f"SELECT eps, m AS min_samples, a FROM (SELECT eps, a, count(*) AS n FROM db_near GROUP BY ALL), (SELECT unnest({MIN_SAMPLES}) AS m) WHERE n >= m")
+CTES["db_edge"] = (
+    "db_core",
+    "SELECT c.eps, c.min_samples, n.a, n.b FROM db_near n JOIN db_core c ON c.eps = n.eps AND c.a = n.a JOIN db_core e ON e.eps = n.eps AND e.min_samples = c.min_samples AND e.a = n.b",
+)
+CTES["db_component"] = (
+    "db_edge",
+    """WITH RECURSIVE lab(eps, min_samples, a, label) USING KEY (eps, min_samples, a) AS (SELECT eps, min_samples, a, a FROM db_core
+         UNION SELECT e.eps, e.min_samples, e.a, min(l.label) FROM db_edge e JOIN lab l ON l.eps = e.eps AND l.min_samples = e.min_samples AND l.a = e.b
+         JOIN recurring.lab r ON r.eps = e.eps AND r.min_samples = e.min_samples AND r.a = e.a WHERE l.label < r.label GROUP BY ALL)
+       SELECT eps, min_samples, a, dense_rank() OVER (PARTITION BY eps, min_samples ORDER BY label) - 1 AS cluster FROM lab""",
+)
+CTES["db_labels"] = (
+    "db_component",
+    f"""SELECT p.product_id, e.eps, m.min_samples::INTEGER AS min_samples, CASE WHEN c.a IS NOT NULL THEN 'core' WHEN t.cluster IS NOT NULL THEN 'border' ELSE 'noise' END AS role,
+       coalesce(c.cluster, t.cluster, -1)::INTEGER AS cluster FROM scaled p CROSS JOIN (SELECT unnest({EPS})::DOUBLE AS eps) e CROSS JOIN (SELECT unnest({MIN_SAMPLES}) AS min_samples) m
+       LEFT JOIN db_component c ON c.a = p.product_id AND c.eps = e.eps AND c.min_samples = m.min_samples
+       LEFT JOIN (SELECT n.eps, c.min_samples, n.a, min(c.cluster) AS cluster FROM db_near n JOIN db_component c ON c.eps = n.eps AND c.a = n.b GROUP BY ALL) t ON t.a = p.product_id AND t.eps = e.eps AND t.min_samples = m.min_samples""",
+)
+CTES["db_counts"] = (
+    "db_labels",
+    """SELECT eps, min_samples, count(*) FILTER (role = 'core') AS core, count(*) FILTER (role = 'border') AS border, count(*) FILTER (role = 'noise') AS noise,
+       (count(*) FILTER (role = 'noise'))::DOUBLE / count(*) AS noise_share, count(DISTINCT cluster) FILTER (cluster >= 0) AS clusters FROM db_labels GROUP BY ALL""",
+)
+CTES["db_sample"] = ("scaled", "SELECT * FROM scaled ORDER BY md5(product_id || '|42'), product_id LIMIT 2000")
+CTES["db_silhouette"] = (
+    "db_labels db_sample",
+    f"""SELECT eps, min_samples, avg(CASE WHEN n1 > 0 THEN (outer_ - inner_) / greatest(inner_, outer_) ELSE 0 END) AS silhouette FROM (
+         SELECT eps, min_samples, product_id, max(m) FILTER (same) AS inner_, max(n) FILTER (same) - 1 AS n1, min(m) FILTER (NOT same) AS outer_ FROM (
+           SELECT x.eps, x.min_samples, x.product_id, x.cluster = y.cluster AS same, sum(d) / greatest(count(*) - CAST(x.cluster = y.cluster AS INTEGER), 1) AS m, count(*) AS n
+           FROM (SELECT p.product_id AS a, q.product_id AS b, sqrt({_APART}) AS d FROM db_sample p, db_sample q)
+           JOIN db_labels x ON x.product_id = a JOIN db_labels y ON y.product_id = b AND y.eps = x.eps AND y.min_samples = x.min_samples
+           GROUP BY x.eps, x.min_samples, x.product_id, x.cluster, y.cluster) GROUP BY ALL) GROUP BY ALL""",
+)
+
+
+def density_labels(t):
+    return N.density_grid(scaled_features(t), "product_id", DENSITY, EPS, MIN_SAMPLES)
+
+
+@query("dbscan_noise", "SELECT * EXCLUDE (clusters) FROM db_counts", ctes="db_counts", doubles="noise_share")
+def _(t):
+    """Core, border and noise points for every radius and neighbour count."""
+    counts = N.density_roles(scaled_features(t), "product_id", DENSITY, EPS, MIN_SAMPLES).groupBy("eps", "min_samples").agg(*[F.count_if(F.col("role") == r).alias(r) for r in ("core", "border", "noise")])
+    return counts.withColumn("noise_share", F.col("noise") / (F.col("core") + F.col("border") + F.col("noise")))
+
+
+@query("dbscan_clusters", "SELECT * FROM db_labels", ctes="db_labels")
+def _(t):
+    """Role and cluster of every product for every radius and neighbour count."""
+    return density_labels(t)
 
 
 @query(
-    "dbscan_noise",
-    " UNION ALL ".join(_DB.format(eps=e, m=m, i=i) for i, (e, m) in enumerate(_GRID)),
-    ctes="scaled cnt0 cnt1",
-    doubles="noise_share",
+    "dbscan_choice",
+    """SELECT c.*, CASE WHEN clusters > 1 THEN silhouette END AS silhouette FROM db_counts c LEFT JOIN db_silhouette USING (eps, min_samples)
+       ORDER BY CASE WHEN clusters > 1 THEN silhouette END DESC NULLS LAST, noise_share, clusters, eps, min_samples LIMIT 1""",
+    ctes="db_counts db_silhouette",
+    doubles="noise_share silhouette",
 )
 def _(t):
-    return C.dbscan_noise(scaled_features(t), "product_id", ["d_total", "cv"], _GRID)
+    """The radius and neighbour count with the best silhouette, then less noise, then fewer clusters."""
+    return N.best_setting(N.explored(written(density_labels(t)), scaled_features(t), "product_id", DENSITY))
 
 
-@query("dbscan_clusters")
+@query(
+    "dbscan_noise_rows",
+    f"SELECT product_id, cluster_id, {', '.join(FEATS)}, eps, min_samples FROM db_labels JOIN scaled USING (product_id) WHERE role = 'noise'",
+    ctes="db_labels",
+    doubles=" ".join(FEATS),
+)
 def _(t):
-    return C.dbscan_clusters(scaled_features(t), "product_id", ["d_total", "cv"], 0.1, 10)
+    """The products that are noise, with their features, for every radius and neighbour count."""
+    roles = N.density_roles(scaled_features(t), "product_id", DENSITY, EPS, MIN_SAMPLES)
+    return N.noise_rows(roles, scaled_features(t), "product_id")
 
 
 _XS = ", ".join(FEATS)
