@@ -12,15 +12,13 @@ from __future__ import annotations
 import math
 from itertools import product as all_combinations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stockloom.operators.aggregates import one
-from stockloom.operators.clustering import keyed_sample
 from stockloom.operators.components import components
 from stockloom.operators.prefix import row_positions
+from stockloom.operators.silhouette import sampled_silhouettes
 from stockloom.session import discard, written
 
 BOX_LEVELS = 5
@@ -232,57 +230,16 @@ def density_grid(df: DataFrame, key: str, dims: list[str], eps: list[float], min
 def explored(labels: DataFrame, df: DataFrame, key: str, dims: list[str], n: int = 2000, seed: int = 42) -> DataFrame:
     """Per setting of ``labels``: core, border and noise points, share of noise, clusters, and the mean silhouette.
 
-    The silhouette takes noise as one more cluster and is null with fewer than two clusters. It is exact over a
-    keyed sample of at most ``n`` points, the same for all settings; distances are measured in the tasks.
+    The silhouette takes noise as one more cluster and is null with fewer than two clusters.
     """
     counts = labels.groupBy("eps", "min_samples").agg(
         *[F.sum((F.col("role") == r).cast("long")).alias(r) for r in ("core", "border", "noise")], (F.sum((F.col("role") == "noise").cast("double")) / one()).alias("noise_share"),
         F.countDistinct(F.when(F.col("cluster") >= 0, F.col("cluster"))).alias("clusters"),
     )
-    sample = keyed_sample(df.select(key, *dims).dropna(), key, n, seed)
-    rows = sample.collect()  # at most n points
-    place = {r[key]: i for i, r in enumerate(rows)}
-    settings: dict[tuple, np.ndarray] = {}
-    for r in labels.join(sample.select(key), key).collect():  # at most n rows a setting
-        settings.setdefault((r.eps, r.min_samples), np.full(len(rows), -1))[place[r[key]]] = r.cluster
-    x = np.array([[float(r[c]) for c in dims] for r in rows]).reshape(len(rows), len(dims))
-    names = sorted(settings)
-    schema = "eps double, min_samples int, silhouette double"
-    spark = df.sparkSession
-    if not names:
-        return counts.withColumn("silhouette", F.lit(None).cast("double"))
-    shared = spark.sparkContext.broadcast((x, [settings[s] for s in names], names))
-
-    def score(batches):
-        points, columns, of = shared.value
-        for b in batches:
-            out = [(*of[i], mean_silhouette(points, columns[i])) for i in b["id"]]
-            yield pd.DataFrame(out, columns=["eps", "min_samples", "silhouette"])
-
-    scores = spark.range(0, len(names), numPartitions=len(names)).mapInPandas(score, schema)
-    joined = counts.join(scores, ["eps", "min_samples"], "left")
+    joined = counts.join(sampled_silhouettes(labels, df, key, dims, ["eps", "min_samples"], n, seed), ["eps", "min_samples"], "left")
     return joined.withColumn("silhouette", F.when(F.col("clusters") > 1, F.col("silhouette")))
 
 
-def mean_silhouette(x: np.ndarray, labels: np.ndarray) -> float | None:
-    """Mean silhouette by Euclidean distance, in blocks of rows; none with fewer than two labels."""
-    names, code = np.unique(labels, return_inverse=True)
-    if len(names) < 2:
-        return None
-    member = np.eye(len(names))[code]
-    sizes, total = member.sum(axis=0), 0.0
-    for at in range(0, len(x), 256):
-        rows = np.arange(at, min(at + 256, len(x)))
-        sums = np.sqrt(((x[rows, None, :] - x[None, :, :]) ** 2).sum(axis=2)) @ member
-        own = code[rows]
-        inner = sums[np.arange(len(rows)), own] / np.maximum(sizes[own] - 1, 1)
-        means = sums / sizes
-        means[np.arange(len(rows)), own] = np.inf
-        outer = means.min(axis=1)
-        total += float(np.where(sizes[own] > 1, (outer - inner) / np.maximum(np.maximum(inner, outer), 1e-300), 0.0).sum())
-    return total / len(x)
-
-
 def best_setting(table: DataFrame) -> DataFrame:
     """The row with the highest silhouette; of equal ones less noise, then fewer clusters, then smaller settings."""
     return table.orderBy(F.col("silhouette").desc_nulls_last(), "noise_share", "clusters", "eps", "min_samples").limit(1)

@@ -8,20 +8,35 @@ from stockloom.operators import aggregates as A
 from stockloom.operators import clustering as C
 from stockloom.operators import density as N
 from stockloom.operators import features as X
+from stockloom.operators import hierarchy as H
+from stockloom.operators import mixtures as G
 from stockloom.operators import similarity as S
+from stockloom.operators.silhouette import sampled_silhouettes
 from stockloom.plans.bindings import CTES
 from stockloom.plans.q_forecast import FEATS, scaled_features
 from stockloom.plans.registry import query
 from stockloom.session import written
 
-KS = [3, 4, 5]
+KS = range(3, 11)
+
+
+def brand_components(t):
+    """Scores, loadings and shares of the principal components of the brands, over all years of sales."""
+    df = t.sales.join(t.catalog.select("product_id", "brand"), "product_id")
+    years = sorted(r[0] for r in t.sales.select(F.year("date")).distinct().collect())
+    f = A.category_features(df, "brand", "date", "qty", years)
+    return X.pca_scores(f, [c for c in f.columns if c != "brand"], ["brand"])
 
 
 @query("pca_scores")
 def _(t):
-    df = t.sales.join(t.catalog.select("product_id", "brand"), "product_id")
-    f = A.category_features(df, "brand", "date", "qty", [1998, 1999, 2000])
-    return X.pca_scores(f, [c for c in f.columns if c != "brand"], ["brand"])[0]
+    return brand_components(t)[0]
+
+
+@query("pca_loadings")
+def _(t):
+    """What every feature adds to each component."""
+    return brand_components(t)[1]
 
 
 @query("kmeans_sweep")
@@ -29,6 +44,12 @@ def _(t):
     return C.kmeans_sweep(scaled_features(t), FEATS, ["product_id"], KS)[0]
 
 
+@query("kmeans_labels")
+def _(t):
+    """The cluster of every product for the number of clusters with the best silhouette."""
+    return C.kmeans_sweep(scaled_features(t), FEATS, ["product_id"], KS)[1]
+
+
 @query("kmeans_sweep_embeddings")
 def _(t):
     e = t.source("embeddings")
@@ -39,12 +60,42 @@ def _(t):
 
 @query("gmm_sweep")
 def _(t):
-    return C.gmm_sweep(scaled_features(t), ["d_total", "d_mean", "cv"], ["product_id"], [3, 4], max_iter=20)[0]
+    """Likelihood, BIC and silhouette of the mixtures of all four covariance kinds."""
+    f = scaled_features(t)
+    return G.mixture_table(f, "product_id", FEATS, G.fit_mixtures(f, "product_id", FEATS, KS))
+
+
+@query("gmm_labels")
+def _(t):
+    """The component of every product under the mixture with the best silhouette."""
+    f = scaled_features(t)
+    models = G.fit_mixtures(f, "product_id", FEATS, KS)
+    best = G.best_mixture(G.mixture_table(f, "product_id", FEATS, models), models)
+    return G.mixture_labels(f, "product_id", FEATS, [best])
+
+
+@query("hierarchical_merges")
+def _(t):
+    """Every merge of Ward's hierarchy with its height."""
+    return H.ward_merges(scaled_features(t), "product_id", FEATS)
+
+
+@query("hierarchical_labels")
+def _(t):
+    """The cluster of every product in Ward's hierarchy, for each number of clusters."""
+    f = scaled_features(t)
+    return H.ward_labels(f, "product_id", H.ward_merges(f, "product_id", FEATS), KS)
 
 
 @query("hierarchical_clusters")
 def _(t):
-    return C.hierarchical_clusters(scaled_features(t), FEATS, ["product_id"], KS)[0]
+    """Silhouette and squared error of Ward's hierarchy for each number of clusters."""
+    f = scaled_features(t)
+    merges = H.ward_merges(f, "product_id", FEATS)
+    labels = written(H.ward_labels(f, "product_id", merges, KS))
+    error = labels.join(f, "product_id").groupBy("k", "cluster").agg(sum((F.var_pop(c) for c in FEATS), F.lit(0.0)).alias("v"), F.count(F.lit(1)).alias("n"))
+    error = error.groupBy("k").agg(F.sum(F.col("v") * F.col("n")).alias("squared_error"))
+    return error.join(sampled_silhouettes(labels, f, "product_id", FEATS, ["k"]), "k")
 
 
 DENSITY = ["d_total", "cv", "p95"]
