@@ -137,10 +137,11 @@ def scan_licenses(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, k: int
         .agg(F.size(F.array_distinct(covered)).alias("n_covered"), F.min("place").alias("start"), (F.max("place") + (k - 1)).alias("end"))
         .select(*key, "label", "start", "end", (F.col("n_covered") / F.col("t_words")).alias("share"))
     )
-    matched = spans_found.where(F.col("share") >= cover)
-    other = spans_found.groupBy(*key).agg(F.max("share").alias("top_share")).join(
-        matched.groupBy(*key).agg(F.collect_set("label").alias("span_set"), F.sort_array(F.collect_set(F.struct("label", "start", "end", "share"))).alias("spans")), key, "left"
-    )
+    matches = F.col("share") >= cover
+    other = spans_found.groupBy(*key).agg(
+        F.max("share").alias("top_share"), F.collect_set(F.when(matches, F.col("label"))).alias("span_set"),
+        F.sort_array(F.collect_set(F.when(matches, F.struct("label", "start", "end", "share")))).alias("spans"),
+    )
     none = F.array().cast("array<string>")
     same = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.text_key") == F.col(f"{b}.text_key"))
     joined = heads.alias("d").join(base.alias("b"), same("d", "b"), "left").join(other.alias("o"), same("d", "o"), "left")
@@ -155,5 +156,5 @@ def scan_licenses(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, k: int
         F.array_join(F.array_sort(base_set), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_union(base_set, span_set)), ",").alias("labels"),
         F.when(F.col("b.n_base") > 0, 1.0).otherwise(F.coalesce("o.top_share", F.lit(0.0))).alias("score"),
-        F.col("o.spans").alias("spans"),
+        F.when(F.size("o.spans") > 0, F.col("o.spans")).alias("spans"),
     )

@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stockloom.llm.arrays import FOLD, IS_SPACE, LOWER, flat, grams, lists, mixed, pieces, prefix, spans, text_batches, within, words
+from stockloom.llm.columns import free_names
 from stockloom.llm.keyfilter import found, id_key, key_filter
 from stockloom.operators.components import components
 from stockloom.session import written
@@ -78,7 +79,7 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """``doc_id, n_shingles, d1, d2, bands, code``: d1 and d2 are a 128-bit digest of the whole shingle set.
+    """``doc_id, text_key, n_shingles, d1, d2, bands, code``: d1 and d2 are a 128-bit digest of the whole shingle set.
 
     ``code`` has the lowest byte of every coordinate of the signature.
     """
@@ -97,17 +98,22 @@ def _signed(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                 keys, code = band_keys(signature, bands, rows), signature.T.astype(np.uint8).view(np.int8)
             yield pa.RecordBatch.from_arrays(
                 [
-                    piece.column("doc_id"), pa.array(counts), pa.array(digests[0].view(np.int64)), pa.array(digests[1].view(np.int64)),
+                    piece.column("doc_id"), piece.column("text_key"), pa.array(counts), pa.array(digests[0].view(np.int64)), pa.array(digests[1].view(np.int64)),
                     lists(keys.reshape(-1).view(np.int64), full * bands), lists(code.reshape(-1), full * bands * rows),
                 ],
-                names=["doc_id", "n_shingles", "d1", "d2", "bands", "code"],
+                names=["doc_id", "text_key", "n_shingles", "d1", "d2", "bands", "code"],
             )
 
-    return text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, code array<tinyint>"
+    return text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text").mapInArrow(
+        run, "doc_id long, text_key long, n_shingles long, d1 long, d2 long, bands array<long>, code array<tinyint>"
     )
 
 
+def text_key() -> Column:
+    """Tells the texts of one id apart."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """``doc_id, shingles`` of the documents in ``ids(doc_id)`` and of few others."""
     wanted = key_filter(ids.select(id_key("doc_id").alias("key")), "key")
@@ -150,14 +156,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
 
     Nulls and empty texts have no shingles and no links. A row without ``doc_id`` cannot be named: it has
     a null ``component_id``, links nothing and is kept. Rows that repeat a ``doc_id`` are one node with
-    several texts. Ids must be whole numbers. An empty table gives no rows; further columns are ignored.
+    several texts: what one of them is linked to, all are. Ids must be whole numbers. An empty table gives
+    no rows; further columns are ignored.
     """
+    return _judged(docs, k, percent, bands, rows, by_id=True).drop("text_key")
+
+
+def _judged(docs: DataFrame, k: int, percent: int, bands: int, rows: int, by_id: bool) -> DataFrame:
+    """:func:`near_duplicates` with the ``text_key`` of every row. Without ``by_id`` an id links no texts that differ."""
     signed = written(_signed(docs, k, bands, rows))
     classes = written(signed.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")))
-    named = signed.join(classes, ["d1", "d2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("rep")).alias("rep"), "bands", "code")
+    named = signed.join(classes, ["d1", "d2"], "left").select("doc_id", "text_key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("rep")).alias("rep"), "bands", "code")
     members = written(
         named.select(
             "doc_id",
+            "text_key",
             "n_shingles",
             F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep"),
             F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands"),
@@ -165,10 +178,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
         )
     )
     links = _links(docs, members, k, percent, bands * rows)
+    if by_id:
+        twice = members.where("doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("hi")).where("a < hi").select("doc_id", "a")
+        links = links.unionByName(members.join(twice, "doc_id").select("a", F.col("rep").alias("b")).where("a < b"))
     found_ids = written(components(links))
     joined = members.join(found_ids, members["rep"] == found_ids["node"], "left")
     component = F.coalesce("component", "rep")
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return joined.select("doc_id", "text_key", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def _links(docs: DataFrame, members: DataFrame, k: int, percent: int, coordinates: int) -> DataFrame:
@@ -282,17 +298,23 @@ def linked_to_block(members: pa.Table, queries: pa.Table, percent: int) -> pa.Ta
     return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
 
 
-def without_near_duplicates(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs``, with all their columns, without the documents whose group keeps another one.
+def without_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """The rows of ``docs``, with all their columns, of which no other row stands for the group.
 
-    What leaves is decided by id, so rows that repeat a ``doc_id`` stay or go together, and then only one
-    of several equal rows stays.
+    Groups are those of :func:`near_duplicates`, but made of texts alone: rows that repeat a ``doc_id`` with
+    another text are judged by their own text, and none leaves because of what its id's other text is like. Of
+    rows equal in id and text one stays, the least by the other columns, which must have an order. Nulls, blank
+    texts and rows without id stay. An empty table gives no rows.
     """
-    judged = near_duplicates(docs, **how)
-    gone = written(judged.where("not kept").select(F.col("doc_id").alias("_gone")).distinct())
-    rest = docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
-    twice = written(judged.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_twice")))
+    judged = written(_judged(docs, k, percent, bands, rows, by_id=False).where("doc_id is not null"))
+    id_, key, row = free_names(docs, "id", "key", "row")
+    named = lambda found: found.select(F.col("doc_id").alias(id_), F.col("text_key").alias(key))
+    same = lambda found: (docs["doc_id"].cast("long") == found[id_]) & (text_key() == found[key])
+    gone = named(judged.where("not kept")).distinct()
+    rest = docs.join(gone, same(gone), "left_anti")
+    twice = written(named(judged.where("kept").groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")))
     if twice.isEmpty():
         return rest
-    again = docs["doc_id"].cast("long") == twice["_twice"]
-    return rest.join(twice, again, "left_anti").unionByName(rest.join(twice, again, "left_semi").dropDuplicates(["doc_id"]))
+    equal = rest.join(twice, same(twice), "left_semi").groupBy(F.col("doc_id").alias(id_), F.coalesce("text", F.lit("")).alias(key))
+    least = equal.agg(F.min(F.struct(*[F.col(c) for c in docs.columns])).alias(row)).select(f"{row}.*")
+    return rest.join(twice, same(twice), "left_anti").unionByName(least)

@@ -6,6 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stockloom.llm.columns import free_names
 from stockloom.operators.prefix import range_running_total
 from stockloom.session import written
 
@@ -156,13 +157,16 @@ def mixed_rows(docs: DataFrame, **how) -> DataFrame:
     mixed = mixed_documents(docs, **how)
     words = F.floor(F.col("target") + 0.5)  # a placement of all words of the target is the only one of its source
     read = mixed.select("doc_id", F.filter("placements", lambda p: (p["words"] * 2 >= F.col("size")) | (p["words"] == words)).alias("placements"))
+    id_, places_, place = free_names(docs, "id", "places", "place")
     places = written(
-        read.where("doc_id is not null").groupBy("doc_id").agg(F.max("placements").alias("_places")).where(F.size("_places") > 0).select(F.col("doc_id").alias("_id"), "_places")
+        read.where("doc_id is not null").groupBy(F.col("doc_id").alias(id_)).agg(F.max("placements").alias(places_)).where(F.size(places_) > 0)
     )
-    named = docs.join(places, docs["doc_id"] == places["_id"]).select(*docs.columns, F.explode("_places").alias("_place"))
-    ordered = named.withColumn("_position", F.col("_place.position")).withColumn("_epoch", F.col("_place.epoch")).drop("_place")
-    unnamed = docs.where("doc_id is null").where(word_count(F.col("text")) > 0).withColumn("_position", F.lit(1.0)).withColumn("_epoch", F.lit(0))
-    return ordered.unionByName(unnamed).orderBy("_position", "source", "_epoch", "doc_id", F.xxhash64("text")).drop("_position", "_epoch")
+    named = docs.join(places, docs["doc_id"] == places[id_]).select(*[docs[c] for c in docs.columns], F.explode(places_).alias(place))
+    none = F.struct(F.lit(0).alias("epoch"), F.lit(0).cast("long").alias("words"), F.lit(1.0).alias("position"))
+    unnamed = docs.where("doc_id is null").where(word_count(F.col("text")) > 0).withColumn(place, none)
+    rows = named.unionByName(unnamed)
+    at = F.col(place)
+    return rows.orderBy(at["position"], "source", at["epoch"], "doc_id", F.xxhash64("text")).drop(place)
 
 
 def row_order(mix: DataFrame) -> Column:

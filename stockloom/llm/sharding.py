@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from stockloom.operators.prefix import row_positions
 from stockloom.session import shared_folder, written
@@ -91,9 +92,9 @@ def rebalanced(now: dict[int, int], loads: dict[int, int], shards: int = SHARDS)
 
 
 def store_map(spark: SparkSession, path: str, version: int, slot_map: dict[int, int]) -> DataFrame:
-    """Adds a version to the map table at ``path`` and returns the whole table. Older versions stay."""
+    """Adds a version to the map table at ``path`` and returns the whole table. A version is never written over."""
     rows = [(version, slot, slot_map[slot]) for slot in sorted(slot_map)]
-    spark.createDataFrame(rows, MAP_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{path}/version={version:06d}")
+    spark.createDataFrame(rows, MAP_SCHEMA).coalesce(1).write.mode("error").parquet(f"{path}/version={version:06d}")
     return spark.read.schema(MAP_SCHEMA).parquet(f"{path}/version=*")
 
 
@@ -101,6 +102,42 @@ def stored_map(spark: SparkSession, path: str, version: int) -> DataFrame:
     return spark.read.schema(MAP_SCHEMA).parquet(f"{path}/version={version:06d}")
 
 
+def newest_version(spark: SparkSession, path: str) -> int | None:
+    """The last version of the map table at ``path``; none if there is no table yet."""
+    try:
+        table = spark.read.schema(MAP_SCHEMA).parquet(f"{path}/version=*")
+    except AnalysisException:
+        return None
+    return table.agg(F.max("version")).first()[0]
+
+
+def current_map(spark: SparkSession, path: str, loads: dict[int, int], slots: int, shards: int) -> int:
+    """The version of the map at ``path`` that fits ``loads``: the newest one, or that one edited and stored as the next.
+
+    Where there is no map, version 0 deals the slots round and version 1 is edited for the loads. An edit that leaves
+    the heaviest and the lightest shard as far apart as before is none. Shards may be added, not taken away.
+    """
+    version = newest_version(spark, path)
+    if version is None:
+        version = 0
+        store_map(spark, path, version, first_map(slots, shards))
+    now = {r.virtual_slot: r.shard for r in stored_map(spark, path, version).collect()}  # one row per virtual slot
+    if set(now) != set(range(slots)) or max(now.values()) >= shards:
+        raise ValueError(f"the map at {path} has other slots or more shards")
+    edited = rebalanced(now, loads, shards)
+
+    def gap(slot_map: dict[int, int]) -> int:
+        total = [0] * shards
+        for slot, shard in slot_map.items():
+            total[shard] += loads.get(slot, 0)
+        return max(total) - min(total)
+
+    if gap(edited) < gap(now):
+        version += 1
+        store_map(spark, path, version, edited)
+    return version
+
+
 def slot_loads(records: DataFrame) -> dict[int, int]:
     """Bytes per virtual slot: one row per slot reaches the driver, however many records there are."""
     return {r.virtual_slot: r.load for r in records.groupBy("virtual_slot").agg(F.sum("size").alias("load")).collect()}
@@ -109,9 +146,9 @@ def slot_loads(records: DataFrame) -> dict[int, int]:
 def sharded(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, map_path: str | None = None, order: Column | None = None) -> DataFrame:
     """Law ``bytes``: ``doc_id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot, map_version``.
 
-    Records are hashed by id into ``slots`` virtual slots. Version 0 of the map deals the slots round;
-    the bytes per slot are summed, and version 1 is that map edited until the shards carry nearly equal
-    bytes. Both are stored at ``map_path`` (a new folder in the shared folder if not given). ``slot`` is
+    Records are hashed by id into ``slots`` virtual slots. The bytes per slot are summed, and the newest map
+    at ``map_path`` is edited until the shards carry nearly equal bytes; an edited map is stored there as the next
+    version (:func:`current_map`). Without ``map_path`` a map is begun in a new folder of the shared folder. ``slot`` is
     the record's place in its shard, from 0 without gaps: its rank inside the virtual slot plus the
     records of the shard's virtual slots before it, so no task orders more than one virtual slot. More
     virtual slots (a parameter) make smaller tasks and finer balance. One record is never split, so a
@@ -124,10 +161,8 @@ def sharded(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, map_path:
     spark = docs.sparkSession
     path = map_path or f"{shared_folder(spark).rstrip('/')}/slot_maps/{uuid.uuid4().hex}"
     records = written(measured(docs, slots, *([] if order is None else [order.alias("_order")])))
-    start = first_map(slots, shards)
-    store_map(spark, path, 0, start)
-    store_map(spark, path, 1, rebalanced(start, slot_loads(records), shards))
-    current = F.broadcast(stored_map(spark, path, 1))  # one row per virtual slot
+    version = current_map(spark, path, slot_loads(records), slots, shards)
+    current = F.broadcast(stored_map(spark, path, version))  # one row per virtual slot
     if order is not None:
         dealt = records.join(current, "virtual_slot")
         placed = row_positions(dealt, ["shard"], [F.col("_order").asc()], "_at")
