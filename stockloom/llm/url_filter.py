@@ -19,7 +19,8 @@ RULES = (
 )
 
 DAMPING = 0.85
-ROUNDS = 15
+TOLERANCE = 1e-3
+MOST_ROUNDS = 500
 LEAST_TRUST = 0.5
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -70,26 +71,32 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return edges.join(ends, "src").select("src", "dst", (1 / F.col("n")).alias("weight")).unionByName(loops)
 
 
-def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """Personalised PageRank ``kind, host, rank`` of several kinds at once.
 
     ``edges(kind, src, dst, weight)`` and ``seeds(kind, host, share)``. In a round every host hands on its
-    rank along its links and the seeds get their shares anew; hosts that nothing reaches have no row. The
-    ranks of each round are written, so that Spark can split the links of one host with very many.
+    rank along its links and the seeds get their shares anew; hosts that nothing reaches have no row. Rounds go
+    on until the ranks of every kind, which sum to 1, change by less than ``tolerance`` in all; as a round shrinks
+    the change by ``damping`` at least, they end, and running on means wrong weights and raises. The ranks of each
+    round are written, so that Spark can split the links of one host with very many.
     """
     ranks = seeds.select("kind", "host", F.col("share").alias("rank"))
-    start = seeds.select("kind", "host", ((1 - damping) * F.col("share")).alias("rank"))
+    start = seeds.select("kind", "host", ((1 - damping) * F.col("share")).alias("rank"), F.lit(0.0).alias("before"))
     last = None
-    for _ in range(rounds):
-        moved = edges.join(ranks.withColumnRenamed("host", "src"), ["kind", "src"])
-        handed = moved.select("kind", F.col("dst").alias("host"), (damping * F.col("rank") * F.col("weight")).alias("rank"))
-        ranks = written(handed.unionByName(start).groupBy("kind", "host").agg(F.sum("rank").alias("rank")))
+    for _ in range(MOST_ROUNDS):
+        moved = edges.join(ranks.select("kind", F.col("host").alias("src"), "rank"), ["kind", "src"])
+        handed = moved.select("kind", F.col("dst").alias("host"), (damping * F.col("rank") * F.col("weight")).alias("rank"), F.lit(0.0).alias("before"))
+        old = ranks.select("kind", "host", F.lit(0.0).alias("rank"), F.col("rank").alias("before"))
+        ranks = written(handed.unionByName(start).unionByName(old).groupBy("kind", "host").agg(F.sum("rank").alias("rank"), F.sum("before").alias("before")))
         discard(edges.sparkSession, last)
         last = ranks
-    return ranks
+        change = ranks.groupBy("kind").agg(F.sum(F.abs(F.col("rank") - F.col("before"))).alias("change")).agg(F.max("change")).first()[0]
+        if (change or 0.0) < tolerance:
+            return ranks.select("kind", "host", "rank")
+    raise RuntimeError(f"the ranks still change by {change} after {MOST_ROUNDS} rounds")
 
 
-def judged_urls(pages: DataFrame, rules=RULES, damping: float = DAMPING, rounds: int = ROUNDS, least: float = LEAST_TRUST) -> DataFrame:
+def judged_urls(pages: DataFrame, rules=RULES, damping: float = DAMPING, tolerance: float = TOLERANCE, least: float = LEAST_TRUST) -> DataFrame:
     """``page_id, host, path, rule, verdict, trust`` per page.
 
     The longest fitting rule decides. Where none fits, the host decides: trust spreads over the links of
@@ -110,7 +117,7 @@ def judged_urls(pages: DataFrame, rules=RULES, damping: float = DAMPING, rounds:
     counts = written(ruled.where("decided is not null and host <> ''").groupBy(F.col("decided").alias("kind"), "host").agg(F.count(F.lit(1)).alias("n")))
     total = counts.groupBy("kind").agg(F.sum("n").alias("total"))
     seeds = written(counts.join(F.broadcast(total), "kind").select("kind", "host", (F.col("n") / F.col("total")).alias("share")))  # two rows
-    ranks = spread(written(both), seeds, damping, rounds)
+    ranks = spread(written(both), seeds, damping, tolerance)
     of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("rank")).otherwise(0.0))
     trust = written(ranks.groupBy("host").agg(of("allow").alias("t"), of("block").alias("d")).select("host", F.try_divide("t", F.col("t") + F.col("d")).alias("trust")))
     joined = ruled.drop("html").join(trust, "host", "left")

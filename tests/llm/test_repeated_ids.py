@@ -1,12 +1,14 @@
 """Rows that repeat an id or have none, maps that are edited later, and columns whose names clash."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from stockloom.llm.columns import free_names
 from stockloom.llm.license_scan import scan_licenses
 from stockloom.llm.minhash import near_duplicates, without_near_duplicates
 from stockloom.llm.mixing import mixed_rows
 from stockloom.llm.sharding import first_map, sharded, store_map, stored_map
+from stockloom.llm.url_filter import spread
 
 X = "one two three four five six seven eight nine ten"
 Y = "eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty"
@@ -77,3 +79,15 @@ def test_the_mix_returns_the_columns_it_was_given(spark):
 
 def test_free_names_differ_from_all_columns(spark):
     assert free_names(spark.createDataFrame([], "A int, a_ int, b int"), "a", "c") == ["a__", "c"]
+
+
+def test_trust_spreads_until_it_settles(spark):
+    """A chain of 60 hosts: every one is reached, and the ranks are those of the exact solution."""
+    n = 60
+    edges = [("t", f"h{i:02}", f"h{i + 1:02}", 1.0) for i in range(n)] + [("t", f"h{n:02}", f"h{n:02}", 1.0)]
+    frame = spark.createDataFrame(edges, "kind string, src string, dst string, weight double")
+    seeds = spark.createDataFrame([("t", "h00", 1.0)], "kind string, host string, share double")
+    got = {r.host: r.rank for r in spread(frame, seeds, tolerance=1e-9).collect()}
+    assert len(got) == n + 1 and sum(got.values()) == pytest.approx(1.0, abs=1e-8)
+    for i in range(n):
+        assert got[f"h{i:02}"] == pytest.approx(0.15 * 0.85**i, abs=1e-8)
