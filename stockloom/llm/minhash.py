@@ -179,8 +179,10 @@ def _judged(docs: DataFrame, k: int, percent: int, bands: int, rows: int, by_id:
     )
     links = _links(docs, members, k, percent, bands * rows)
     if by_id:
-        twice = members.where("doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("hi")).where("a < hi").select("doc_id", "a")
-        links = links.unionByName(members.join(twice, "doc_id").select("a", F.col("rep").alias("b")).where("a < b"))
+        ids = members.where("doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("hi"))
+        twice = written(ids.where("a < hi").select("doc_id", "a"))
+        if not twice.isEmpty():
+            links = links.unionByName(members.join(twice, "doc_id").select("a", F.col("rep").alias("b")).where("a < b"))
     found_ids = written(components(links))
     joined = members.join(found_ids, members["rep"] == found_ids["node"], "left")
     component = F.coalesce("component", "rep")
