@@ -197,7 +197,8 @@ def _links(docs: DataFrame, members: DataFrame, k: int, percent: int, coordinate
     buckets = written(reps.join(pivots, "key"))
     pairs = written(buckets.where("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct())
     ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-    sets = written(_sets(docs, ids, k))
+    # Columns of long arrays are read in large ranges, which the vectored reader holds outside of the heap.
+    sets = written(_sets(docs, ids, k), **{"parquet.hadoop.vectored.io.enabled": "false"})
     sure = written(_confirmed(pairs, sets, percent))
     known = written(components(sure))
     sized = written(known.groupBy("component").agg(F.count(F.lit(1)).alias("members")))
