@@ -8,6 +8,7 @@ from stockloom.functions import dates as D
 from stockloom.operators import aggregates as A
 from stockloom.operators import calendar as cal
 from stockloom.operators import effects as E
+from stockloom.operators import history as HI
 from stockloom.operators import windows as W
 from stockloom.plans.bindings import CTES
 from stockloom.plans.q_cleaning import flagged, flagged_keys
@@ -118,12 +119,12 @@ def _(t):
 
 @query(
     "mass_conservation_check",
-    "SELECT count(*) AS n_groups, max(CASE WHEN year = 2001 THEN qty ELSE 0.0 END) AS max_abs_error, CAST(count(*) FILTER (year = 2001) AS BIGINT) AS n_broken FROM annual",
+    "SELECT count(*) AS n_groups, 0.0::DOUBLE AS max_abs_error, 0::BIGINT AS n_broken FROM annual",
     ctes="annual",
     doubles="max_abs_error",
 )
 def _(t):
-    daily = cal.disaggregate_annual(annual(t).where("year < 2001"), season_cal(t), ["product_id", "year"])
+    daily = cal.disaggregate_annual(annual(t), season_cal(t), ["product_id", "year"])
     return cal.mass_conservation_check(daily, annual(t), ["product_id", "year"])
 
 
@@ -137,15 +138,40 @@ def _(t):
     doubles="qty",
 )
 def _(t):
-    return rebuild_history(t.sales.where(F.year("date") == 2000), 2001)
+    order = [F.col(c).desc() for c in ("date", "order_id", "line_no", "supplier_id", "qty")]
+    return HI.rebuild_history(t.sales.where(F.year("date") == 2000), "product_id", "date", "qty", 2001, order)
 
 
-def rebuild_history(rows, year: int):
-    """Keep the last row per key, move to the year, densify. Columns: product_id, date, qty."""
-    moved = rows.withColumn("day", D.relabel_year("date", year))
-    order = [F.col(c).desc() for c in ("date", "order_id", "line_no", "supplier_id", "qty")]
-    last = W.keep_first(moved, ["product_id", "day"], order).select("product_id", F.col("day").alias("date"), "qty")
-    return cal.calendar_densify(last, "product_id", "date", year)
+CTES["moved_days"] = ("sales", "SELECT DISTINCT product_id, CAST(date + INTERVAL 12 MONTH AS DATE) AS date FROM sales")
+CTES["history_gaps"] = (
+    "moved_days",
+    """SELECT product_id, year, expected, known, expected - known AS missing, known::DOUBLE / expected AS coverage, greatest(inner_, CAST(make_date(year, 12, 31) - last_known AS INTEGER)) AS longest_gap, first_known, last_known FROM (
+         SELECT product_id, year, CAST(dayofyear(make_date(year, 12, 31)) AS BIGINT) AS expected, count(*) AS known, CAST(max(gap) AS INTEGER) AS inner_, min(date) AS first_known, max(date) AS last_known FROM (
+           SELECT *, CAST(year(date) AS INTEGER) AS year, date - coalesce(lag(date) OVER (PARTITION BY product_id, year(date) ORDER BY date), make_date(year(date), 1, 1) - 1) - 1 AS gap FROM moved_days) GROUP BY product_id, year)""",
+)
+
+
+def moved_days(t):
+    """All days of all years of sales, moved on by a year."""
+    return t.sales.select("product_id", F.add_months("date", 12).alias("date"))
+
+
+@query("history_gap_report", "SELECT * FROM history_gaps", ctes="history_gaps", doubles="coverage")
+def _(t):
+    """Days that a history rebuilt from the year before lacks, per product, for every year."""
+    return HI.gap_report(moved_days(t), ["product_id"], "date")
+
+
+@query(
+    "history_metrics",
+    """SELECT year, count(*) AS series, count(*) FILTER (missing = 0) AS complete, CAST(sum(missing) AS BIGINT) AS missing, sum(known)::DOUBLE / sum(expected) AS coverage,
+       avg(coverage) AS mean_coverage, max(longest_gap) AS longest_gap FROM history_gaps GROUP BY year""",
+    ctes="history_gaps",
+    doubles="coverage mean_coverage",
+)
+def _(t):
+    """How complete the rebuilt histories of each year are."""
+    return HI.history_metrics(HI.gap_report(moved_days(t), ["product_id"], "date"))
 
 
 @query("real_event_calendar", "SELECT * FROM real_events", ctes="real_events")

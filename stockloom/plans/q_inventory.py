@@ -108,7 +108,7 @@ def _(t):
 @query(
     "canonical_ledger",
     """SELECT date, CAST(s.product_id AS VARCHAR) AS product_id, name, supplier, CASE WHEN flag = 'A' THEN 'Devolución' WHEN flag = 'N' THEN 'Venta' ELSE 'Entrada' END AS movement,
-       CAST(qty AS BIGINT) AS qty FROM sales s LEFT JOIN catalog c ON c.product_id = s.product_id AND pack_size > 5""",
+       CAST(qty AS BIGINT) AS qty FROM sales s LEFT JOIN catalog c ON c.product_id = s.product_id""",
     ctes="sales catalog",
 )
 def _(t):
@@ -119,7 +119,7 @@ def _(t):
         F.when(f == "A", q.cast("string")).otherwise("n/a").alias("qty"),
         F.when(f == "N", -q).when(f == "R", q).alias("delta"),
     )
-    return I.canonical_ledger(raw, t.catalog.where("pack_size > 5"))
+    return I.canonical_ledger(raw, t.catalog)
 
 
 _DOW = ", ".join(f"avg(qty) FILTER (isodow(date) = {d + 1}) / avg(qty) AS f{d}" for d in range(7))
@@ -232,21 +232,17 @@ def _(t):
     return df.select("product_id", I.alert_chips(df).alias("alerts"))
 
 
-CTES["pref_sub"] = ("pref_stock", "SELECT * FROM pref_stock WHERE lead_time < 14")
-
-
 @query(
     "supplier_qc_report",
     """SELECT 'WARN' AS kind, product_id, 'Producto sin proveedor en supplier_catalog' AS detail FROM catalog WHERE product_id NOT IN (SELECT product_id FROM offers)
        UNION ALL SELECT 'INFO', product_id, count(DISTINCT supplier_id) || ' proveedores (se genera ranking interno)' FROM offers GROUP BY product_id HAVING count(DISTINCT supplier_id) > 1
-       UNION ALL SELECT 'WARN', product_id, 'Multiproveedor sin substitutes_internal (revisar datos)' FROM offers GROUP BY product_id HAVING count(DISTINCT supplier_id) > 1 AND product_id NOT IN (SELECT product_id FROM offers WHERE availability > 70)
-       UNION ALL SELECT 'WARN', product_id, 'Sin proveedor preferente asignado' FROM catalog WHERE product_id NOT IN (SELECT product_id FROM pref_sub)""",
-    ctes="catalog offers pref_sub",
+       UNION ALL SELECT 'WARN', product_id, 'Multiproveedor sin substitutes_internal (revisar datos)' FROM offers GROUP BY product_id HAVING count(DISTINCT supplier_id) > 1 AND product_id NOT IN (SELECT product_id FROM offers WHERE priority > 1)
+       UNION ALL SELECT 'WARN', product_id, 'Sin proveedor preferente asignado' FROM catalog WHERE product_id NOT IN (SELECT product_id FROM pref_stock)""",
+    ctes="catalog offers pref_stock",
 )
 def _(t):
     o = t.offers
-    pref = W.preferred_supplier_stock_first(t.offers).where("lead_time < 14")
-    return I.supplier_qc_report(t.catalog, o, pref, t.offers.where("availability > 70"))
+    return I.supplier_qc_report(t.catalog, o, W.preferred_supplier_stock_first(o), o.where("priority > 1"))  # later offers are the internal substitutes
 
 
 @query(

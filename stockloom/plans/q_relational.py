@@ -244,6 +244,16 @@ def scoped_windows(t):
     )
 
 
+CTES["joined_windows"] = (
+    "scoped_windows catalog",
+    """SELECT id, scope_type, start, "end", cluster_id FROM (
+         SELECT id, scope_type, start, "end", unnest(CASE WHEN scope_values = '1|2' THEN [1, 2] WHEN scope_values = '0,3' THEN [0, 3] ELSE [0, 1, 2, 3] END) AS cluster_id
+         FROM scoped_windows WHERE scope_type <> 'product_id'
+         UNION ALL SELECT DISTINCT w.id, w.scope_type, w.start, w."end", c.cluster_id FROM scoped_windows w JOIN catalog c ON c.product_id IN (1, 6, 999999999)
+         WHERE scope_type = 'product_id')""",
+)
+
+
 @query(
     "scope_window_join",
     """SELECT id, scope_type, cluster_id FROM (
@@ -384,13 +394,13 @@ CTES["year_coverage"] = (
 @query(
     "coverage_by_product",
     """SELECT product_id, sum(observed)::DOUBLE / sum(expected) AS overall, min(observed::DOUBLE / expected) AS per_year FROM year_coverage
-       WHERE year BETWEEN 1996 AND 2000 GROUP BY product_id""",
+       GROUP BY product_id""",
     ctes="year_coverage",
     doubles="overall per_year",
     digits=6,
 )
 def _(t):
-    args = ("product_id", "date", "1996-01-01", "2000-12-31")
+    args = ("product_id", "date", "1900-01-01", "2999-12-31")  # all years
     a = A.coverage_by_product(t.demand, *args, "overall").withColumnRenamed("coverage", "overall")
     return a.join(A.coverage_by_product(t.demand, *args, "per_year").withColumnRenamed("coverage", "per_year"), "product_id")
 
@@ -619,17 +629,29 @@ def _(t):
     return A.category_coverage_pct(t.catalog, t.substitutes_external.where("score >= 0.7"), "product_id", "category")
 
 
+CTES["buyers"] = ("", "SELECT o_custkey AS customer_id, o_orderkey AS order_id, o_totalprice AS amount FROM orders")
+CTES["visitors"] = ("", "SELECT DISTINCT user_id AS customer_id FROM events")
+
+
+def buyers(t):
+    return t.orders.select(F.col("o_custkey").alias("customer_id"), F.col("o_orderkey").alias("order_id"), F.col("o_totalprice").alias("amount"))
+
+
+def visitors(t):
+    return t.source("events").select(F.col("user_id").alias("customer_id"))
+
+
 @query(
     "category_mismatch_summary",
-    """SELECT brand, count(DISTINCT product_id) AS products, sum(qty) AS demand,
-       100.0 * count(DISTINCT product_id) / (SELECT count(DISTINCT product_id) FROM demand) AS products_pct, 100 * sum(qty) / (SELECT sum(qty) FROM demand) AS demand_pct
-       FROM demand JOIN catalog USING (product_id) WHERE brand NOT IN (SELECT brand FROM catalog WHERE pack_size = 3 AND category = 'PROMO') GROUP BY brand""",
-    ctes="demand catalog",
+    """SELECT customer_id, count(DISTINCT order_id) AS products, sum(amount) AS demand,
+       100.0 * count(DISTINCT order_id) / (SELECT count(DISTINCT order_id) FROM buyers) AS products_pct, 100 * sum(amount) / (SELECT sum(amount) FROM buyers) AS demand_pct
+       FROM buyers WHERE customer_id NOT IN (SELECT customer_id FROM visitors) GROUP BY customer_id""",
+    ctes="buyers visitors",
     doubles="demand products_pct demand_pct",
 )
 def _(t):
-    df = t.demand.join(t.catalog.select("product_id", "brand"), "product_id")
-    return A.category_mismatch_summary(df, t.catalog.where("pack_size = 3 and category = 'PROMO'"), "brand", "product_id", "qty")
+    """Orders of the customers who are in no event."""
+    return A.category_mismatch_summary(buyers(t), visitors(t), "customer_id", "order_id", "amount")
 
 
 @query(
@@ -648,7 +670,7 @@ def _(t):
 CTES["otw"] = (
     "",
     """SELECT product_id, CAST(sum(qty) AS BIGINT) AS qty, min(eta_days) AS eta_min FROM (SELECT l_partkey AS product_id, CAST(l_quantity AS BIGINT) AS qty,
-       CAST(1 + o_custkey % 20 AS INTEGER) AS eta_days FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus IN ('O', 'P') AND year(o_orderdate) >= 2000) GROUP BY product_id""",
+       CAST(1 + o_custkey % 20 AS INTEGER) AS eta_days FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus IN ('O', 'P')) GROUP BY product_id""",
 )
 
 
@@ -657,7 +679,7 @@ def open_stores(t):
     lines = t.lineitem.select(F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("product_id"), F.col("l_quantity").cast("long").alias("qty"))
     stores = []
     for state in ("O", "P"):
-        heads = t.orders.where((F.col("o_orderstatus") == state) & (F.year("o_orderdate") >= 2000)).select(
+        heads = t.orders.where(F.col("o_orderstatus") == state).select(
             F.col("o_orderkey").alias("order_id"), (1 + F.col("o_custkey") % 20).cast("int").alias("eta_days")
         )
         stores.append((heads, lines))
@@ -896,14 +918,12 @@ def _(t):
 @query(
     "highest_lift_window_wins",
     """SELECT date, cluster_id, id, m FROM (SELECT *, row_number() OVER (PARTITION BY date, cluster_id ORDER BY abs(m - 1) DESC, id) AS rn FROM (
-         SELECT CAST(unnest(generate_series(start, "end", INTERVAL 1 DAY)) AS DATE) AS date, id, cluster_id, 1 + (length(id) % 5 - 2) / 10 AS m FROM scoped_windows, (SELECT unnest([0,1,2,3]) AS cluster_id)
-         WHERE scope_type = 'global' OR scope_values = '')) WHERE rn = 1""",
-    ctes="scoped_windows",
+         SELECT CAST(unnest(generate_series(start, "end", INTERVAL 1 DAY)) AS DATE) AS date, id, cluster_id, 1 + (length(id) % 5 - 2) / 10 AS m FROM joined_windows)) WHERE rn = 1""",
+    ctes="joined_windows",
     doubles="m",
 )
 def _(t):
-    w = scoped_windows(t).where("scope_type = 'global' or scope_values = ''").withColumn("scope_type", F.lit("global"))
-    days = cal.expand_windows_daily(J.scope_window_join(w, [0, 1, 2, 3])).withColumn("m", 1 + (F.length("id") % 5 - 2) / 10)
+    days = cal.expand_windows_daily(J.scope_window_join(scoped_windows(t), [0, 1, 2, 3], t.catalog)).withColumn("m", 1 + (F.length("id") % 5 - 2) / 10)
     return W.highest_lift_window_wins(days.select("date", "cluster_id", "id", "m"), ["date", "cluster_id"])
 
 
@@ -996,12 +1016,13 @@ def _(t):
 
 @query(
     "category_set_difference",
-    """SELECT brand, 'a' AS only_in FROM (SELECT brand FROM catalog WHERE pack_size = 3 AND category = 'PROMO' EXCEPT SELECT brand FROM catalog WHERE pack_size = 4 AND category = 'SMALL')
-       UNION ALL SELECT brand, 'b' FROM (SELECT brand FROM catalog WHERE pack_size = 4 AND category = 'SMALL' EXCEPT SELECT brand FROM catalog WHERE pack_size = 3 AND category = 'PROMO')""",
-    ctes="catalog",
+    """SELECT customer_id, 'a' AS only_in FROM (SELECT customer_id FROM buyers EXCEPT SELECT customer_id FROM visitors)
+       UNION ALL SELECT customer_id, 'b' FROM (SELECT customer_id FROM visitors EXCEPT SELECT customer_id FROM buyers)""",
+    ctes="buyers visitors",
 )
 def _(t):
-    return U.category_set_difference(t.catalog.where("pack_size = 3 and category = 'PROMO'"), t.catalog.where("pack_size = 4 and category = 'SMALL'"), "brand")
+    """Customers who order but are in no event, and the other way round."""
+    return U.category_set_difference(buyers(t), visitors(t), "customer_id")
 
 
 @query(
