@@ -84,19 +84,72 @@ def tfidf_name_similarity(
     return each.withColumn("rank", rank).where(F.col("rank") <= k).select(product, "substitute_id", "score", "rank")
 
 
+def _grams(names: DataFrame, col: str, q: int) -> DataFrame:
+    """``col, length, gram``: the runs of ``q`` letters of each name; a run that comes again has the number of its coming."""
+    runs = F.when(F.length(col) >= q, F.transform(F.sequence(F.lit(1), F.length(col) - (q - 1)), lambda i: F.substring(F.col(col), i, F.lit(q)))).otherwise(F.array())
+    with_runs = names.select(col, F.length(col).alias("length"), runs.alias("_g"))
+    numbered = F.transform("_g", lambda g, i: F.concat(g, F.lit("#"), F.size(F.filter(F.slice("_g", F.lit(1), i + 1), lambda x: x == g)).cast("string")))
+    return with_runs.select(col, "length", F.explode(numbered).alias("gram"))
+
+
+def _rarest(grams: DataFrame, counts: DataFrame, col: str, q: int, most: float) -> DataFrame:
+    """Of each name the rarest grams, as many as a partner within ``most`` cannot all lack."""
+    shared = F.ceil(F.col("length") * (1 - q * most)) - q + 1  # grams that two names of this length or more must share
+    kept = (F.col("length") - q + 1) - shared + 1
+    order = Window.partitionBy(col).orderBy(F.coalesce("n", F.lit(0)), "gram")
+    ranked = grams.where(shared > 0).join(counts, "gram", "left").withColumn("_r", F.row_number().over(order))
+    return ranked.where(F.col("_r") <= kept).select(col, "length", "gram")
+
+
+def near_names(values: DataFrame, targets: DataFrame, col: str, target: str, q: int, most: float) -> DataFrame:
+    """``col, b``: the best ``target`` within ``most`` of each name as struct ``d, t``; names without one have no row.
+
+    Names at edit distance e, whose longer one has m letters, share m - q + 1 - q e grams or more. So at a relative
+    distance of up to ``most`` two names share one of their rarest grams, and meet in an index of these alone.
+    Names too short to owe a gram are left out: take a smaller ``q`` for them. Every pair that meets is measured.
+    """
+    grams = written(_grams(targets, target, q))
+    counts = written(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")))
+    a = _rarest(_grams(values, col, q), counts, col, q, most)
+    b = _rarest(grams, counts, target, q, most).withColumnRenamed("length", "_length")
+    longer, shorter = F.greatest("length", "_length"), F.least("length", "_length")
+    met = a.join(b, "gram").where(longer - shorter <= most * longer).select(col, target, longer.alias("_m")).distinct()
+    measured = met.withColumn("_e", F.levenshtein(col, target)).where(F.col("_e") <= most * F.col("_m"))
+    return measured.groupBy(col).agg(F.min(F.struct((F.col("_e") / F.col("_m")).alias("d"), F.col(target).alias("t"))).alias("b"))
+
+
+# Letters in a gram and the relative distance up to which its index answers, one after the other.
+STEPS = [(2, 0.25), (1, 0.5)]
+
+
 def fuzzy_category_match(source: DataFrame, targets: DataFrame, col: str, target: str, accept: float = 0.75, chunk: int = 1000) -> DataFrame:
     """Best target for each value without an exact one: 1 - edit distance / longer length, and SI or REVISAR.
 
-    Targets are packed into arrays of about ``chunk`` values. Each value meets every chunk once and keeps
-    the best of it, so memory is bounded by a chunk whatever the number of targets.
+    Indexes of grams find every target up to a relative distance, close ones first; a value whose best target is
+    within it is settled, and only the others go on to the wider index. Values with no target within half of
+    the longer length resemble none; they meet all targets, packed into arrays of about ``chunk`` values, so memory
+    is bounded by a chunk. Of equal distances the first target counts. Nulls match nothing; an empty value is at
+    distance 1 from every target. Without targets there are no rows.
     """
-    names = targets.select(F.col(target).alias("_t")).where("_t is not null").distinct()
+    names = written(targets.select(F.col(target).alias("_t")).where("_t is not null").distinct())
+    open_ = written(source.select(col).where(F.col(col).isNotNull()).distinct().join(names, F.col(col) == F.col("_t"), "left_anti"))
+    found = []
+    for q, most in STEPS:
+        best = written(near_names(open_, names, col, "_t", q, most))
+        found.append(best)
+        open_ = written(open_.join(best, col, "left_anti"))
+    out = _scanned(open_, names, col, chunk)
+    for best in found:
+        out = out.unionByName(best)
+    score = 1 - F.col("b.d")
+    return out.select(col, F.col("b.t").alias("suggested"), score.alias("score"), F.when(score >= accept, "SI").otherwise("REVISAR").alias("use"))
+
+
+def _scanned(values: DataFrame, names: DataFrame, col: str, chunk: int) -> DataFrame:
+    """``col, b``: the best of all targets, chunk by chunk."""
     n_chunks = names.agg(F.greatest(F.ceil(F.count(F.lit(1)) / chunk), F.lit(1)).cast("long").alias("n"))
     packed = names.withColumn("_c", F.pmod(F.xxhash64("_t"), n_chunks.scalar())).groupBy("_c").agg(F.collect_list("_t").alias("_ts"))
-    open_values = source.select(col).where(F.col(col).isNotNull()).distinct().join(names, F.col(col) == F.col("_t"), "left_anti")
-    seek = open_values.withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"), n_chunks.scalar() - 1)))
+    seek = values.withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"), n_chunks.scalar() - 1)))
     longer = lambda x: F.greatest(F.length(col), F.length(x), F.lit(1))
     scored = F.transform("_ts", lambda x: F.struct((F.levenshtein(F.col(col), x) / longer(x)).alias("d"), x.alias("t")))
-    best = seek.join(packed, "_c").select(col, F.array_min(scored).alias("b")).groupBy(col).agg(F.min("b").alias("b"))
-    score = 1 - F.col("b.d")
-    return best.select(col, F.col("b.t").alias("suggested"), score.alias("score"), F.when(score >= accept, "SI").otherwise("REVISAR").alias("use"))
+    return seek.join(packed, "_c").select(col, F.array_min(scored).alias("b")).groupBy(col).agg(F.min("b").alias("b"))
