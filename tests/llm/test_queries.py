@@ -19,7 +19,8 @@ def test_query(spark, name):
         assert 0 < got.num_rows < 20
     else:
         table = "pages" if name.startswith("op6") else "documents"
-        assert got.num_rows == spark.read.parquet(f"{SF}/{table}.parquet").count()
+        rows = got.num_rows if name != "op11_packing" else len(got.column("doc_id").unique())  # one row per piece
+        assert rows == spark.read.parquet(f"{SF}/{table}.parquet").count()
 
 
 def test_pipeline(spark):
