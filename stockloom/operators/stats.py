@@ -72,7 +72,8 @@ def spearman_by_year_pair(pairs: DataFrame) -> DataFrame:
 
 def anova_oneway(df: DataFrame, group: str, value: str) -> DataFrame:
     """F statistic over groups from count, sum and squared deviations around each group's own mean."""
-    g = df.groupBy(group).agg(one().alias("n"), F.avg(value).alias("m"), (F.var_pop(value) * F.count(value)).alias("ss"))
+    # One row per group, read twice below.
+    g = written(df.groupBy(group).agg(one().alias("n"), F.avg(value).alias("m"), (F.var_pop(value) * F.count(value)).alias("ss")))
     grand = g.agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("g"))
     return g.agg(
         (one() - 1).alias("df_between"),
@@ -87,6 +88,7 @@ def anova_oneway(df: DataFrame, group: str, value: str) -> DataFrame:
 
 def levene_median(df: DataFrame, group: str, value: str) -> DataFrame:
     """Levene's test around the group medians: the F test on absolute deviations."""
+    df = written(df.select(group, value))
     med = exact_quantiles(df, [group], value, {"_med": 0.5})
     return anova_oneway(df.join(med, group).withColumn("_dev", F.abs(F.col(value) - F.col("_med"))), group, "_dev")
 
