@@ -6,8 +6,8 @@ from __spark_entry__ import oracle_sql, queries
 from tools.check import compare, connect
 
 SF = "/root/testdata/sf0.001"
-# Trained models and streams have their own tests; their queries only need to run.
-SLOW = {"gmm_sweep", "hierarchical_clusters", "kmeans_sweep_embeddings", "train_regressors", "model_grid_search", "final_predictions"}
+# Queries that train models for long and have no SQL; mixtures and hierarchy have tests of their own.
+SLOW = {"gmm_sweep", "hierarchical_clusters", "kmeans_sweep_embeddings", "train_regressors", "model_winners", "model_grid_search", "final_predictions", "feature_importance"}
 
 
 @pytest.fixture(scope="module")
