@@ -6,8 +6,8 @@ from __spark_entry__ import oracle_sql, queries
 from tools.check import compare, connect
 
 SF = "/root/testdata/sf0.001"
-# Queries that train models for long and have no SQL; mixtures and hierarchy have tests of their own.
-SLOW = {"gmm_sweep", "hierarchical_clusters", "kmeans_sweep_embeddings", "train_regressors", "model_winners", "model_grid_search", "final_predictions", "feature_importance"}
+# Queries that train models for long and have no SQL; mixtures, hierarchy and learners have tests of their own.
+SLOW = {"gmm_sweep", "hierarchical_clusters", "kmeans_sweep_embeddings", "train_regressors", "model_winners", "backtest_trained", "backtest_trained_summary", "trained_importance", "model_grid_search", "final_predictions", "feature_importance"}
 
 
 @pytest.fixture(scope="module")
