@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from stockloom.functions import pricing as P
 from stockloom.operators import aggregates as A
 from stockloom.operators import inventory as I
 from stockloom.operators import joins as J
+from stockloom.operators import receipts as R
 from stockloom.operators import views as V
 from stockloom.operators import windows as W
 from stockloom.plans.bindings import CTES
 from stockloom.plans.q_relational import PREF_PRIORITY, ledger_run, open_stores, top_flags, unified_subs
 from stockloom.plans.registry import query
+from stockloom.session import shared_folder, written
 
 STAMP = "20250101_000000"
 
@@ -105,6 +109,58 @@ def _(t):
     return I.receive_order(stock_now(t), lines, f"PO_3_{STAMP}", "2001-12-01")[0].select("product_id", "stock")
 
 
+ARRIVALS = [("2001-12-01", [3]), ("2001-12-02", [3, 5]), ("2001-12-03", [5])]  # orders by supplier; repeats book nothing
+
+
+def received(t):
+    """Stock folder after three arrivals, of which two repeat orders that were booked before."""
+    path = f"{shared_folder(t.spark).rstrip('/')}/stock/{uuid.uuid4().hex}"
+    lines = written(I.purchase_order_lines(suggested(t), STAMP))
+    R.open_stock(stock_now(t), path)
+    for day, suppliers in ARRIVALS:
+        orders = lines.where(F.col("supplier").isin(suppliers)).select("order_id").distinct()
+        R.receive_lines(lines, path, day, orders)
+    return path, lines
+
+
+CTES["booked"] = (
+    "po_lines",
+    f"""SELECT CASE supplier WHEN 3 THEN DATE '{ARRIVALS[0][0]}' ELSE DATE '{ARRIVALS[1][0]}' END AS date, order_id, product_id, qty
+        FROM po_lines WHERE supplier IN (3, 5) AND qty > 0""",
+)
+
+
+@query(
+    "received_stock",
+    """SELECT coalesce(i.product_id, g.product_id) AS product_id, CAST(coalesce(stock, 0) + coalesce(q, 0) AS BIGINT) AS stock FROM stock_now i
+       FULL JOIN (SELECT product_id, sum(qty) AS q FROM booked GROUP BY product_id) g ON i.product_id = g.product_id""",
+    ctes="stock_now booked",
+)
+def _(t):
+    """The newest stock version after all arrivals."""
+    return R.stock_at(t.spark, received(t)[0]).select("product_id", "stock")
+
+
+@query("receipt_ledger", f"SELECT date, order_id, product_id, '{R.MOVEMENT}' AS movement, CAST(qty AS BIGINT) AS qty FROM booked", ctes="booked")
+def _(t):
+    """Ledger rows of the lines that the arrivals booked, each once."""
+    return R.receipt_ledger(R.receipts_at(t.spark, received(t)[0]))
+
+
+@query(
+    "order_status",
+    f"""SELECT order_id, count(*) FILTER (qty > 0 AND supplier NOT IN (3, 5)) AS n_open,
+        CASE WHEN count(*) FILTER (qty > 0) > 0 AND count(*) FILTER (qty > 0 AND supplier NOT IN (3, 5)) = 0 THEN '{R.RECEIVED}' ELSE 'Pendiente' END AS status
+        FROM po_lines GROUP BY order_id""",
+    ctes="po_lines",
+)
+def _(t):
+    """Status of every purchase order after the arrivals."""
+    path, lines = received(t)
+    headers = lines.select("order_id").distinct().withColumn("status", F.lit("Pendiente"))
+    return R.order_status(headers, lines, R.receipts_at(t.spark, path)).select("order_id", "n_open", "status")
+
+
 @query(
     "canonical_ledger",
     """SELECT date, CAST(s.product_id AS VARCHAR) AS product_id, name, supplier, CASE WHEN flag = 'A' THEN 'Devolución' WHEN flag = 'N' THEN 'Venta' ELSE 'Entrada' END AS movement,
