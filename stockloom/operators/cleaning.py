@@ -73,7 +73,7 @@ def invalid_rows_with_reason(df: DataFrame, product: str, date: str, qty: str, f
     return df.withColumn("reason", text).where(F.col("reason") != "")
 
 
-def problem_case_stages(
+def problem_case_rules(
     df: DataFrame,
     product: str,
     date: str,
@@ -86,58 +86,56 @@ def problem_case_stages(
     min_coverage: float,
     scope: str = "overall",
     iqr: bool = False,
-) -> tuple[DataFrame, dict[str, DataFrame]]:
-    """The ordered cascade: the clean rows, and per rule the products that lost rows to it.
+) -> DataFrame:
+    """Every row with the rule of the ordered cascade that removes it in ``rule``, null for clean rows.
 
     Each rule sees only what the rules before it left: non-active, invalid, null category, repeated
     key (the first row in ``tie`` order stays), zero total, low coverage and optionally IQR outliers.
     """
-    d, q = F.col(date), F.col(qty)
+    d, q, rule = F.col(date), F.col(qty), F.col("rule")
     lo, hi = F.lit(first).cast("date"), F.lit(last).cast("date")
-    lost: dict[str, DataFrame] = {}
-
-    def cut(rows: DataFrame, bad: Column, rule: str) -> DataFrame:
-        hit = F.coalesce(bad, F.lit(True))
-        lost[rule] = rows.where(hit).select(product)
-        return rows.where(~hit)
-
-    rows = cut(df, ~is_active(status), "estado_no_activo")
+    yes = F.lit(True)
     invalid = d.isNull() | q.isNull() | F.col(product).isNull() | (q < 0) | (d < lo) | (d > hi)
-    rows = cut(rows, invalid, "valores_invalidos")
-    rows = cut(rows, F.col(category).isNull(), "categoria_nula")
-    repeated = rows.groupBy(product, date).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    lost["duplicados_product_date"] = repeated.select(product)
-    nth = F.row_number().over(Window.partitionBy(product, date).orderBy(*tie))
+    row_rule = (
+        F.when(F.coalesce(~is_active(status), yes), "estado_no_activo")
+        .when(F.coalesce(invalid, yes), "valores_invalidos").when(F.col(category).isNull(), "categoria_nula")
+    )
+    # Rows that are out already are spread by their content: many of them may share one key, null for instance.
+    spread = F.when(rule.isNotNull(), F.xxhash64(*df.columns))
+    nth = F.row_number().over(Window.partitionBy(product, date, rule.isNotNull(), spread).orderBy(*tie))
+    repeated = F.when(rule.isNull() & (nth > 1), "duplicados_product_date").otherwise(rule)
     # The product rules read these rows several times, so they are kept and not worked out again.
-    rows = written(rows.withColumn("_nth", nth).where("_nth = 1").drop("_nth"))
+    rows = written(df.withColumn("rule", row_rule).withColumn("rule", repeated))
+    left = rows.where(rule.isNull())
     # The rules left remove whole products, or rows by the product's own quantiles: one table says it all.
-    per = rows.groupBy(product).agg(
+    per = left.groupBy(product).agg(
         F.sum(qty).alias("_total"), F.percentile(qty, 0.25).alias("_q1"), F.percentile(qty, 0.75).alias("_q3")
     )
-    seen = coverage_by_product(rows, product, date, first, last, scope).select(product, F.col("coverage").alias("_cov"))
-    rows = rows.join(per.join(seen, product), product)
-    rows = cut(rows, F.col("_total") == 0, "demanda_total_cero")
-    rows = cut(rows, F.col("_cov") < min_coverage, f"cobertura_baja_{scope}")
+    seen = coverage_by_product(left, product, date, first, last, scope).select(product, F.col("coverage").alias("_cov"))
+    later = F.when(F.coalesce(F.col("_total") == 0, yes), "demanda_total_cero")
+    later = later.when(F.coalesce(F.col("_cov") < min_coverage, yes), f"cobertura_baja_{scope}")
     if iqr:
         span = 1.5 * (F.col("_q3") - F.col("_q1"))
-        rows = cut(rows, (span > 0) & ((q < F.col("_q1") - span) | (q > F.col("_q3") + span)), "outliers_iqr")
-    return rows.select(*df.columns), lost
+        out = (span > 0) & ((q < F.col("_q1") - span) | (q > F.col("_q3") + span))
+        later = later.when(F.coalesce(out, yes), "outliers_iqr")
+    judged = rows.join(per.join(seen, product), product, "left")
+    return judged.withColumn("rule", F.coalesce(rule, later)).select(*df.columns, "rule")
 
 
 def problem_case_filter(df: DataFrame, **kw) -> DataFrame:
-    return problem_case_stages(df, **kw)[0]
+    return problem_case_rules(df, **kw).where(F.col("rule").isNull()).drop("rule")
+
+
+def removed_rows_by_rule(df: DataFrame, **kw) -> DataFrame:
+    """The rows that the cascade removes, each with its rule."""
+    return problem_case_rules(df, **kw).where(F.col("rule").isNotNull())
 
 
 def rules_applied_per_product(df: DataFrame, **kw) -> DataFrame:
     """Sorted, comma-joined rules per product that lost rows; a product has at most one entry per rule."""
     product = kw["product"]
-    lost = problem_case_stages(df, **kw)[1]
-    tagged = reduce(
-        lambda a, b: a.unionByName(b), [d.withColumn("rule", F.lit(rule)) for rule, d in lost.items()]
-    )
-    return tagged.where(F.col(product).isNotNull()).groupBy(product).agg(
-        F.concat_ws(",", F.array_sort(F.collect_set("rule"))).alias("rules")
-    )
+    gone = removed_rows_by_rule(df, **kw).where(F.col(product).isNotNull())
+    return gone.groupBy(product).agg(F.concat_ws(",", F.array_sort(F.collect_set("rule"))).alias("rules"))
 
 
 def flag_rows_in_set(df: DataFrame, keys_df: DataFrame, keys: list[str], flag: str = "is_outlier") -> DataFrame:

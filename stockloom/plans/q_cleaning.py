@@ -189,6 +189,25 @@ def _(t):
     return C.rules_applied_per_product(dirty(t), **cascade_args())
 
 
+_ROW = "product_id, date, qty, status, category, order_id, line_no, supplier_id"
+
+
+@query(
+    "removed_rows_by_rule",
+    f"""SELECT {_ROW}, 'estado_no_activo' AS rule FROM cascade WHERE r1
+        UNION ALL SELECT {_ROW}, 'valores_invalidos' FROM cascade WHERE NOT r1 AND r2
+        UNION ALL SELECT {_ROW}, 'categoria_nula' FROM cascade WHERE NOT r1 AND NOT r2 AND r3
+        UNION ALL SELECT {_ROW}, 'duplicados_product_date' FROM cascade_first WHERE nth > 1
+        UNION ALL SELECT {_ROW}, CASE WHEN total = 0 THEN 'demanda_total_cero' WHEN coverage < 0.009 THEN 'cobertura_baja_overall' ELSE 'outliers_iqr' END
+        FROM cascade_iqr WHERE total = 0 OR coverage < 0.009 OR is_out""",
+    ctes="cascade cascade_first cascade_stats cascade_iqr",
+    doubles="qty",
+)
+def _(t):
+    """Every row that the cascade removes, with its rule."""
+    return C.removed_rows_by_rule(dirty(t), **cascade_args()).select(*_ROW.split(", "), "rule")
+
+
 # Days with an unusually large order line: the list of flagged (product, date) keys.
 CTES["flagged_keys"] = ("sales", "SELECT DISTINCT product_id, date FROM sales WHERE qty >= 49")
 CTES["flagged"] = (
