@@ -50,3 +50,11 @@ def test_states_of_a_group_meet_once(spark, small_batches):
     assert {(r.k, r.s): r.n for r in got.collect()} == {(r.k, r.s): r["count"] for r in df.groupBy("k", "s").count().collect()}
     assert "FlatMapGroups" not in got._jdf.queryExecution().executedPlan().toString()
     assert custom_aggregate(df.limit(0), ["k"], "v", lambda v: b"", lambda a, b: a, lambda s: 0, "n").collect() == []
+
+
+def test_tasks_of_a_spread_table_hold_a_bounded_number_of_rows(spark):
+    from stockloom.session import spread
+
+    df = spread(spark.range(1000).selectExpr("id as k", "id % 7 as v"), "k", rows=100)
+    sizes = df.rdd.glom().map(len).collect()
+    assert sum(sizes) == 1000 and len(sizes) == 11 and max(sizes) < 250
