@@ -54,6 +54,35 @@ def test_heights_and_labels_are_those_of_the_plain_algorithm(spark, dims, finish
         assert [min(got[c]) for c in sorted(got)] == sorted(map(min, got.values())) and sorted(got) == list(range(k))
 
 
+@pytest.mark.parametrize(("box", "widest", "finish"), [(12, 1000, 20), (40, 1000, 3), (2, 3, 118)])
+def test_boxes_merge_as_the_plain_algorithm(spark, box, widest, finish):
+    rng = np.random.default_rng(box)
+    x = np.vstack([rng.normal(0, 0.05, (40, 3)), rng.normal(3, 0.5, (50, 3)), rng.uniform(-4, 8, (25, 3)), np.full((4, 3), 1.5)])
+    heights, at = brute_ward(x)
+    df = frame(spark, x)
+    merges = H.ward_merges(df, "id", df.columns[1:], finish, box, widest)
+    rows = merges.collect()
+    assert len(rows) == len(x) - 1 and len({r.b for r in rows}) == len(rows)
+    assert sorted(r.height for r in rows) == pytest.approx(sorted(heights), abs=1e-9)
+    labels = H.ward_labels(df, "id", merges, [3, 7]).collect()
+    assert all({frozenset(g) for g in clusters(labels, k).values()} == at[k] for k in (3, 7))
+
+
+def test_a_box_waits_for_what_may_be_nearer_outside():
+    ids, n, c = np.arange(4), np.ones(4), np.array([[0.1], [0.5], [5.0], [5.2]])
+    merges, left = H.chained(ids, n, c, np.array([0.0]), np.array([np.inf]))
+    assert [(a, b) for a, b, _, _ in merges] == [(2, 3)] and left[0].tolist() == [0, 1, 2]
+    assert len(H.chained(ids, n, c)[0]) == 3
+
+
+def test_many_different_rows_take_few_rounds(spark, monkeypatch):
+    rounds, plain = [], H._merged_in_boxes
+    monkeypatch.setattr(H, "_merged_in_boxes", lambda *a: rounds.append(a[2]) or plain(*a))
+    monkeypatch.setattr(H, "nearest_clusters", lambda *a: pytest.fail("rounds over the whole space"))
+    df = frame(spark, np.random.default_rng(1).normal(size=(9000, 6)))
+    assert H.ward_merges(df, "id", df.columns[1:]).count() == 8999 and len(rounds) < 8
+
+
 def test_nearest_clusters_are_exact(spark):
     rng = np.random.default_rng(5)
     c = np.vstack([rng.normal(0, 0.001, (150, 4)), rng.normal(0, 3, (150, 4))])
