@@ -1,6 +1,7 @@
 """Hooks for user functions: many groups to a batch, groups over several batches, keys that are null."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from stockloom.operators.udfs import custom_aggregate, grouped_map_apply
 
@@ -58,3 +59,13 @@ def test_tasks_of_a_spread_table_hold_a_bounded_number_of_rows(spark):
     df = spread(spark.range(1000).selectExpr("id as k", "id % 7 as v"), "k", rows=100)
     sizes = df.rdd.glom().map(len).collect()
     assert sum(sizes) == 1000 and len(sizes) == 11 and max(sizes) < 250
+
+
+def test_sums_of_a_large_table_leave_no_task_more_than_its_rows(spark):
+    from stockloom.session import summed
+
+    df = spark.range(20_000).selectExpr("id", "CASE WHEN id % 2 = 0 THEN 0 ELSE id % 6000 END AS p", "id * 1.0D AS v")
+    out = summed(df, {"p": F.col("p")}, {"v": F.col("v")}, F.col("id"), rows=1000)
+    assert out.rdd.getNumPartitions() == 21
+    assert {r.p: r.v for r in out.collect()} == {r.p: r.v for r in df.groupBy("p").agg(F.sum("v").alias("v")).collect()}
+    assert summed(df, {"p": F.col("p")}, {"v": F.col("v")}, F.col("id")).count() == 3001
