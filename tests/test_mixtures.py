@@ -35,6 +35,16 @@ def test_all_candidates_fit_as_they_would_alone(spark, clouds):
         assert same.get(m.kind, 0.0) < 1e-12
 
 
+def test_sums_of_all_models_count_equal_rows_by_their_number(spark, clouds):
+    models = [G.start(clouds, k, kind, 1) for k in (2, 4) for kind in G.KINDS]
+    times = np.arange(len(clouds)) % 3 + 1.0
+    for m, got in zip(models, G.all_sums(models, clouds, times)):
+        assert np.allclose(got, m.sums(np.repeat(clouds, times.astype(int), axis=0)), rtol=1e-9, atol=1e-7)
+    twice = frame(spark, np.vstack([clouds, clouds]))
+    m = G.fit_mixtures(twice, "id", ["v0", "v1", "v2"], [3], ["full"])[0]
+    assert m.n == 800 and np.allclose(sorted(m.weights), [0.2, 0.3, 0.5], atol=0.01)
+
+
 def test_clouds_are_told_apart_and_bic_finds_them(spark, clouds):
     df = frame(spark, clouds)
     cols = ["v0", "v1", "v2"]
