@@ -177,19 +177,30 @@ def _judged(docs: DataFrame, k: int, percent: int, bands: int, rows: int, by_id:
             F.when(F.col("doc_id") == F.col("rep"), F.col("code")).alias("code"),
         )
     )
-    links = _links(docs, members, k, percent, bands * rows)
+    known, links = _links(docs, members, k, percent, bands * rows)
     if by_id:
         ids = members.where("doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("hi"))
         twice = written(ids.where("a < hi").select("doc_id", "a"))
         if not twice.isEmpty():
             links = links.unionByName(members.join(twice, "doc_id").select("a", F.col("rep").alias("b")).where("a < b"))
-    found_ids = written(components(links))
+    found_ids = written(_followed(known, links))
     joined = members.join(found_ids, members["rep"] == found_ids["node"], "left")
     component = F.coalesce("component", "rep")
     return joined.select("doc_id", "text_key", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _links(docs: DataFrame, members: DataFrame, k: int, percent: int, coordinates: int) -> DataFrame:
+def _followed(known: DataFrame, links: DataFrame) -> DataFrame:
+    """``known(node, component)`` after more ``links(a, b)``, which are few: only they are followed, between whole components."""
+    at = lambda end: known.select(F.col("node").alias(end), F.col("component").alias(f"_{end}"))
+    moved = links.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+    over = written(components(moved))
+    wider = over.select(F.col("node").alias("component"), F.col("component").alias("_wider"))
+    old = known.join(wider, "component", "left").select("node", F.coalesce("_wider", "component").alias("component"))
+    return old.unionByName(over.join(known, "node", "left_anti"))
+
+
+def _links(docs: DataFrame, members: DataFrame, k: int, percent: int, coordinates: int) -> tuple[DataFrame, DataFrame]:
+    """The components ``(node, component)`` of the links to pivots, and the links ``(a, b)`` found beside them."""
     reps = members.where(F.size("bands") > 0).select("rep", F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "key"))
     pivots = written(
         reps.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min(F.col("rep").bitwiseXOR(F.col("key"))).alias("p")).where("c > 1").select("key", "c", F.col("p").bitwiseXOR(F.col("key")).alias("pivot"))
@@ -212,7 +223,7 @@ def _links(docs: DataFrame, members: DataFrame, k: int, percent: int, coordinate
     open_rows = written(placed.join(split, "key"))
     to_members = _against_components(open_rows, named, sets, percent)
     singles = _between_singles(open_rows, members, sets, percent, coordinates)
-    return sure.unionByName(to_members).unionByName(singles)
+    return known, to_members.unionByName(singles)
 
 
 def _between_singles(open_rows: DataFrame, members: DataFrame, sets: DataFrame, percent: int, coordinates: int) -> DataFrame:
@@ -220,16 +231,15 @@ def _between_singles(open_rows: DataFrame, members: DataFrame, sets: DataFrame,
     share = percent / 100
     least = int(coordinates * share - 4.7 * (coordinates * share * (1 - share)) ** 0.5)
     signed = members.where(F.size("bands") > 0).select("rep", "bands", "code")
-    rows = written(open_rows.where("members = 1").select("key", "band", "rep", "n", "pivot").join(signed, "rep"))
+    alone = open_rows.where("members = 1 and rep <> pivot").select("key", "band", "rep", "n").join(signed, "rep")
+    rows = written(alone.select("key", "rep", "n", F.slice("bands", F.lit(1), F.col("band")).alias("before"), "code"))
     x, y = rows.alias("x"), rows.alias("y")
-    earlier = F.exists(F.zip_with(F.slice("x.bands", F.lit(1), F.col("x.band")), F.slice("y.bands", F.lit(1), F.col("x.band")), lambda p, q: p == q), lambda e: e)
+    earlier = F.exists(F.zip_with("x.before", "y.before", lambda p, q: p == q), lambda e: e)
     agree = F.size(F.filter(F.zip_with("x.code", "y.code", lambda p, q: p == q), lambda e: e))
     pairs = x.join(
         y,
         (F.col("x.key") == F.col("y.key"))
         & (F.col("x.rep") < F.col("y.rep"))
-        & (F.col("x.rep") != F.col("x.pivot"))
-        & (F.col("y.rep") != F.col("y.pivot"))
         & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent)
         & ~earlier
         & (agree >= least),

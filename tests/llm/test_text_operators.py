@@ -125,6 +125,21 @@ def test_components_of_a_long_chain_and_a_star(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_end_with_the_round_that_leaves_stars_and_followed_links_join_whole_components(spark, monkeypatch):
+    from stockloom.llm.minhash import _followed
+    from stockloom.operators import components as module
+
+    made = []
+    monkeypatch.setattr(module, "written", lambda df: made.append(1) or written(df))
+    stars = [(1, n) for n in range(2, 30)] + [(29, 1), (40, 50), (40, 50), (7, 7)]
+    known = components(spark.createDataFrame(stars, "a long, b long"))
+    assert dict(known.collect()) == {**{n: 1 for n in range(1, 30)}, 40: 40, 50: 40}
+    assert len(made) == 2  # the edges and the smallest neighbours
+    more = spark.createDataFrame([(50, 60), (0, 60), (3, 9), (70, 71)], "a long, b long")
+    found = _followed(known, more).collect()
+    assert len(found) == 35 and dict(found) == {**{n: 1 for n in range(1, 30)}, **{n: 0 for n in (0, 40, 50, 60)}, 70: 70, 71: 70}
+
+
 # ---- 1 decontamination -------------------------------------------------------------------------
 
 
