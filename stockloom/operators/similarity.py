@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockloom.operators.prefix import row_positions
-from stockloom.session import written
+from stockloom.session import dealt_join, spread, written
 
 
 def internal_substitute_score(alt: DataFrame) -> DataFrame:
@@ -34,7 +34,8 @@ def _tokens(products: DataFrame, name: str) -> DataFrame:
 
 
 def tfidf_name_similarity(
-    products: DataFrame, product: str, category: str, name: str, pack: str, k: int = 3, min_score: float = 0.7, low: float = 0.8, high: float = 1.25
+    products: DataFrame, product: str, category: str, name: str, pack: str, k: int = 3, min_score: float = 0.7, low: float = 0.8, high: float = 1.25,
+    rows: int = 500_000,
 ) -> DataFrame:
     """The k most similar products of the same category with a pack ratio strictly inside (low, high).
 
@@ -42,7 +43,7 @@ def tfidf_name_similarity(
     only through a rare token: tokens are ordered from rare to common, and a pair that reaches the score
     must share one of the leading tokens of both, because the rest of a name alone is too short for it.
     A group of equal (category, name, pack) offers its k + 1 smallest ids, enough for every product that
-    leaves itself out.
+    leaves itself out. Joins are dealt to tasks that make some ``rows`` rows, whatever the number of products.
     """
     usable = products.where(F.col(pack) > 0).select(product, category, name, F.col(pack).cast("double").alias(pack))
     weights = _tokens(products.select(name), name)
@@ -69,17 +70,26 @@ def tfidf_name_similarity(
     heads = usable.withColumn("_rn", first).where(F.col("_rn") <= k + 1)
     # Packs meet through buckets one ratio wide, so only close sizes are compared.
     bucket = F.floor(F.log(F.col(pack)) / F.log(F.lit(max(high, 1 / low))))
-    offer = heads.select(category, F.col(name).alias("_nb"), F.col(pack).alias("_pb"), bucket.alias("_bucket"), F.col(product).alias("substitute_id"))
+    offer = written(heads.select(category, F.col(name).alias("_nb"), F.col(pack).alias("_pb"), bucket.alias("_bucket"), F.col(product).alias("substitute_id")))
+    order = [F.desc(F.round("score", 9)), "substitute_id"]
+
+    def leading(df: DataFrame, *keys: str) -> DataFrame:
+        return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_rn") <= k + 1).drop("_rn")
+
+    # What a name is offered in one pack, from all names like it: a pack is close to another or not, so k + 1 of them are enough.
+    shown, tasks = dealt_join(offer, written(alike), [category, "_nb"], "substitute_id", rows)
+    seen = shown.select(category, "_na", "_bucket", "_pb", "substitute_id", "score").repartition(tasks, category, "_na", "_bucket", "_pb")
+    seen = written(leading(seen, category, "_na", "_bucket", "_pb"))
     groups = usable.select(category, name, pack).distinct()
-    seek = groups.select(category, F.col(name).alias("_na"), F.col(pack).alias("_pa"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("_bucket"))
+    seek = written(groups.select(category, F.col(name).alias("_na"), F.col(pack).alias("_pa"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("_bucket")))
     ratio = F.col("_pb") / F.col("_pa")
-    found = (
-        seek.join(alike, [category, "_na"]).join(offer, [category, "_nb", "_bucket"]).where((ratio > low) & (ratio < high))
-        .select(category, F.col("_na").alias(name), F.col("_pa").alias(pack), "substitute_id", "score")
-    )
-    order = [F.desc(F.round("score", 9)), "substitute_id"]
-    best = found.withColumn("_rn", F.row_number().over(Window.partitionBy(category, name, pack).orderBy(*order))).where(F.col("_rn") <= k + 1).drop("_rn")
-    each = usable.join(best, [category, name, pack]).where(F.col("substitute_id") != F.col(product))
+    close, _ = dealt_join(seek, seen, [category, "_na", "_bucket"], "_pa", rows)
+    # First the best of each bucket, where the join left them; then, of three buckets, the best of all.
+    found = leading(close.where((ratio > low) & (ratio < high)), category, "_na", "_bucket", "_part", "_pa")
+    found = spread(found.select(category, F.col("_na").alias(name), F.col("_pa").alias(pack), "substitute_id", "score"), category, name, pack, rows=rows)
+    best = written(leading(found, category, name, pack))
+    each, tasks = dealt_join(usable, best, [category, name, pack], product, rows)
+    each = each.where(F.col("substitute_id") != F.col(product)).select(product, "substitute_id", "score").repartition(tasks, product)
     rank = F.row_number().over(Window.partitionBy(product).orderBy(*order))
     return each.withColumn("rank", rank).where(F.col("rank") <= k).select(product, "substitute_id", "score", "rank")
 

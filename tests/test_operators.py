@@ -1,5 +1,6 @@
 """Operators on small hand-made frames with expected rows worked out by hand."""
 
+import math
 from datetime import date, timedelta
 
 import numpy as np
@@ -246,6 +247,39 @@ def test_name_similarity_with_a_crowded_group(spark):
     assert not {102, 103, 104, 101} & set(per)
 
 
+def test_name_similarity_in_many_small_tasks_matches_brute_force(spark):
+    # One token per word and brand, so weights are easy; half of all products share one name, in many packs.
+    rng = np.random.default_rng(11)
+    words = [f"{a} {b} {c}" for a in ("gel", "bar", "mix") for b in ("lima", "coco", "mora") for c in ("uno", "dos")]
+    data = [(i, "cd"[i % 7 == 0], words[0] if i % 2 else str(rng.choice(words)), float(rng.integers(1, 30))) for i in range(240)]
+    df = spark.createDataFrame(data, "product_id int, category string, name string, pack double")
+    got = S.tfidf_name_similarity(df, "product_id", "category", "name", "pack", rows=200)
+    counts = {w: sum(w in d[2].split() for d in data) for d in data for w in d[2].split()}
+    vec = {}
+    for name in {d[2] for d in data}:
+        v = {w: math.log((1 + len(data)) / (1 + counts[w])) + 1 for w in name.split()}
+        vec[name] = {w: x / math.sqrt(sum(y * y for y in v.values())) for w, x in v.items()}
+    want = set()
+    for i, c, name, pack in data:
+        near = [(-round(sum(x * vec[other].get(w, 0.0) for w, x in vec[name].items()), 9), j) for j, d, other, p in data if j != i and d == c and 0.8 < p / pack < 1.25]
+        want |= {(i, j, r) for r, (s, j) in enumerate(sorted(x for x in near if x[0] <= -0.7)[:3], 1)}
+    assert {(r.product_id, r.substitute_id, r["rank"]) for r in got.collect()} == want and len(want) > 500
+
+
+def test_joins_that_make_many_rows_are_dealt_by_the_rows_they_make(spark):
+    from stockloom.session import dealt_join
+
+    # 300 rows of one key meet 40 rows of it; 100 other keys meet once.
+    a = spark.range(400).selectExpr("if(id < 300, 0, id) AS k", "id AS x")
+    b = spark.range(440).selectExpr("if(id < 40, 0, id + 260) AS k", "id AS y").where("k < 400")
+    got, tasks = dealt_join(a, b, ["k"], "x", 500)
+    want = {(r.k, r.x, r.y) for r in a.join(b, "k").collect()}
+    assert {(r.k, r.x, r.y) for r in got.collect()} == want and len(want) == got.count() == 300 * 40 + 100
+    assert tasks == len(want) // 500 + 1
+    most = max(r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect())
+    assert most < len(want) / 4, most
+
+
 def test_fuzzy_matches(spark):
     a = spark.createDataFrame([("hidratacion",), ("proteina",), ("zzz",)], "c string")
     b = spark.createDataFrame([("hidratacion",), ("proteinas",), ("cafe",)], "t string")
