@@ -76,3 +76,14 @@ def test_density_of_odd_tables(spark):
     assert got == {(1, 1): ("noise", -1), (1, 2): ("noise", -1), (2, 1): ("core", 0), (3, 1): ("core", 0), (4, 1): ("core", 1), (2, 2): ("core", 0), (3, 2): ("core", 0), (4, 2): ("noise", -1)}
     assert D.density_grid(df.limit(0), "id", ["a", "b"], [0.5], [2]).collect() == []
     assert D.explored(D.density_grid(df.limit(0), "id", ["a", "b"], [0.5], [2]), df.limit(0), "id", ["a", "b"]).collect() == []
+
+
+def test_crowded_space_needs_no_boxes(spark, monkeypatch):
+    x = np.random.default_rng(5).uniform(0, 3, (4000, 3))
+    looked = []
+    plain = D.cell_links
+    monkeypatch.setattr(D, "cell_links", lambda open_, *a: looked.append(open_.count()) or plain(open_, *a))
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(x)], "id int, a double, b double, c double")
+    labels = D.density_grid(df, "id", ["a", "b", "c"], [0.6, 0.8], [3, 5])
+    assert {(r.role, r.cluster) for r in labels.select("role", "cluster").distinct().collect()} == {("core", 0)}
+    assert sum(looked) < 100  # of some thousand pairs of cells, for each count and radius
