@@ -101,3 +101,14 @@ def test_hierarchy_of_odd_tables(spark):
     assert {(r.id, r.cluster) for r in H.ward_labels(df, "id", merges, [5]).collect()} == {(7, 0), (8, 1), (9, 2)}
     none = H.ward_merges(df.limit(0), "id", ["v0", "v1"])
     assert none.collect() == [] and H.ward_labels(df.limit(0), "id", none, [3]).collect() == []
+
+
+def test_nearest_clusters_lie_in_other_boxes_too(spark):
+    rng = np.random.default_rng(8)
+    c = np.vstack([rng.normal(0, 0.01, (150, 5)), rng.normal(0, 2, (250, 5)), np.repeat(rng.normal(size=(4, 5)), 2, axis=0), np.full((1, 5), 40.0)])
+    n = rng.integers(1, 60, len(c)).astype(float)
+    df = spark.createDataFrame([(i, float(n[i]), *map(float, c[i])) for i in range(len(c))], "id long, n double, " + ", ".join(f"c{j} double" for j in range(5)))
+    grown = n[:, None] * n / (n[:, None] + n) * ((c[:, None] - c) ** 2).sum(axis=2)
+    np.fill_diagonal(grown, np.inf)
+    got = {r.id: r for r in H.nearest_clusters(df, 5, box=30).collect()}
+    assert len(got) == len(c) and all(got[i].near == int(g.argmin()) and got[i].grown == pytest.approx(g.min(), abs=1e-12) for i, g in enumerate(grown))
